@@ -544,7 +544,7 @@ for _name in ("ptb", "lm1b", "wikitext"):
     _detok(_name)
 
 
-@query(f"""SELECT doc_id, md5(chr(10) || {sql.strip("translate(text, '“”', '""')")}) AS text FROM documents""")
+@query(f"""SELECT doc_id, md5(chr(10) || {sql.strip("replace(replace(text, '“', chr(34)), '”', chr(34))")}) AS text FROM documents""")
 def detok_lambada(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(detokenize.lambada(F.col("text"))).alias("text"))
 
@@ -603,13 +603,13 @@ _E = "0.001::DOUBLE"
 
 
 @query(
-    f"""WITH t AS (SELECT vec_id, (vec_id + 0.5) / 600::DOUBLE AS t FROM embeddings WHERE vec_id < 500)
+    f"""WITH t AS (SELECT vec_id, (vec_id + 0.5) / 601::DOUBLE AS t FROM embeddings WHERE vec_id < 500)
     SELECT vec_id, round(-ln(1 - (1 - {_E}) * t), 6) AS loglinear, round((1 - {_E}) / (1 - (1 - {_E}) * t), 6) AS loglinear_rate, round(-ln({_E} + (1 - {_E}) * cos(t * pi() / 2)), 6) AS cosine,
     round(pi() / 2 * (1 - {_E}) * sin(t * pi() / 2) / ((1 - {_E}) * cos(t * pi() / 2) + {_E}), 6) AS cosine_rate, round(-ln({_E} + (1 - {_E}) * power(cos(t * pi() / 2), 2)), 6) AS cosine2,
     round(10 * t, 6) AS linear, round(power(0.001::DOUBLE, 1 - t), 6) AS geometric, round((1 - {_E}) * t, 6) AS move_chance FROM t"""
 )
 def noise_table(spark, d):
-    t = (F.col("vec_id") + 0.5) / 600.0
+    t = (F.col("vec_id") + 0.5) / 601.0
     cols = [F.round(noise.schedule(k, t)[0], 6).alias(k) for k in ("loglinear", "cosine", "cosine2", "linear", "geometric")]
     rates = [F.round(noise.schedule(k, t)[1], 6).alias(f"{k}_rate") for k in ("loglinear", "cosine")]
     move = F.round(noise.move_chance(noise.schedule("loglinear", t)[0]), 6).alias("move_chance")
