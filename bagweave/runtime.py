@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,45 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
     temporary one is used. Lost executors don't matter: the files are on shared storage.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bagweave-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: the session's setting, or a temporary one where that is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bagweave-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Rounds:
+    """Tables of an iteration, written to the shared folder: all of a round go once the next one is there.
+
+    Unlike a checkpoint, a table read back carries no constraints of the plan that made it; over the rounds those
+    would multiply.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+        self.now: list[str] = []
+        self.before: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.now.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def next(self) -> None:
+        """A new round begins: what the round before the last one wrote is deleted."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.before:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.before, self.now = self.now, []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
 
