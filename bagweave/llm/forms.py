@@ -148,8 +148,11 @@ class Forms:
         if text.isascii():
             if not INVISIBLE.search(text):
                 return text
-        text = _splice(text)
-        text = EMOJI_RUN.sub(self._run, text)
+        while True:  # what an invisible character kept apart may compose or join now; rarely twice
+            new = EMOJI_RUN.sub(self._run, _splice(text))
+            if new == text:
+                break
+            text = new
         if _OTHER.search(text) and _LATIN.search(text):
             text = WORD.sub(lambda m: one_script(m[0]), text)
         return text
