@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import HOT_SHARE, durable, hash_unit, lookup_skewed
+from ..runtime import HOT_SHARE, Rounds, durable, hash_unit, lookup_skewed
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
@@ -23,22 +23,24 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v); root is the smallest node of its component.
 
     Loops and repeated edges change nothing; edges with a null end are left out. Each round is written to the shared
-    checkpoint folder, so a lost executor costs at most the round at work.
+    folder and its tables deleted two rounds later, so a lost executor costs at most the round at work.
     """
-    now = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    now = rounds.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        least = rounds.keep(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
         large = lookup_skewed(both, least, ["u"], "n").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = durable(large)
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = rounds.keep(large)
+        least = rounds.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         moved = lookup_skewed(large, least, ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = durable(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = rounds.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(now)
         if after == seen:
             break
         seen = after
+        rounds.next()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
