@@ -52,8 +52,9 @@ def distinct_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = V
     using it twice. Empty and null texts and sources without a target are left out.
     """
     there = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").filter("text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL")
-    first = there.groupBy(F.sha2("text", 256).alias("k")).agg(F.min(F.struct("doc_id", "source", "text")).alias("d"))
-    return first.select("d.doc_id", "d.source", token_count(F.col("d.text"), vocabulary, folder).cast("bigint").alias("tokens")).filter("tokens > 0")
+    counted = there.select(F.sha2("text", 256).alias("k"), "doc_id", "source", token_count(F.col("text"), vocabulary, folder).cast("bigint").alias("tokens"))
+    first = counted.groupBy("k").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d"))  # no text is shuffled
+    return first.select("d.doc_id", "d.source", "d.tokens").filter("tokens > 0")
 
 
 class Mixture:
