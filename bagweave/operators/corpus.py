@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..runtime import broadcast_if_small, durable
+from ..runtime import broadcast_if_small, durable, lookup_skewed
 
 #: Ids below are special tokens.
 FIRST_ID = 5
@@ -144,10 +146,24 @@ def permutations(rows: DataFrame, key: str, count: int, seed: int = 42, attempts
     return rows.select(key, "tokens").mapInPandas(draw, f"`{key}` {kind}, variant_idx int, variant string")
 
 
+#: Parts that a group is cut into before its top rows are found.
+SALTS = 64
+
+
+def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``, with ``rn`` from 1.
+
+    In two levels: first of each of SALTS parts of a group, then of what is left, SALTS * k rows of a group at most,
+    so a group with a third of all rows is spread over tasks.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    some = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*group, part).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")
+    return some.withColumn("rn", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rn") <= k)
+
+
 def sample_per_group(rows: DataFrame, group: list[str], key: str, k: int, seed: int) -> DataFrame:
     """``k`` rows of each group, the first in hash order."""
-    w = W.partitionBy(*group).orderBy(hash_order(str(seed), F.col(key)), key)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    return top_per_group(rows, group, [hash_order(str(seed), F.col(key)), F.col(key)], k).drop("rn")
 
 
 def generated_pairs(topics: DataFrame, per_message: int, reply_len: int, seed: int = 42) -> DataFrame:
@@ -165,19 +181,22 @@ def generated_pairs(topics: DataFrame, per_message: int, reply_len: int, seed: i
 def ema(rows: DataFrame, group: list[str], order: str, value: str, decay: float = 0.9999, warm: bool = True) -> DataFrame:
     """(group, ema): the moving average over ordered updates; the n-th decays by min(decay, (1+n)/(10+n)) if ``warm``.
 
-    The first value starts the average. A group's updates are folded in one row, so a group is one series.
+    The first value starts the average. The fold is a weighted sum whose weights depend on a value's place and the
+    group's length only (the warm decays telescope), so long series are summed in parts, never gathered.
     """
-    series = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    grouped = rows.groupBy(*group).agg(series.alias("_s"))
-    start = F.struct(F.lit(0).alias("n"), F.col("_s")[0]["v"].alias("e"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + 1
-        d = F.least(F.lit(decay), (1 + n) / (10 + n)) if warm else F.lit(decay)
-        return F.struct(n.alias("n"), (acc["e"] - (1 - d) * (acc["e"] - x["v"])).alias("e"))
-
-    tail = F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0)))
-    return grouped.select(*group, F.aggregate(tail, start, step)["e"].alias("ema"))
+    placed = with_global_index(rows.select(*group, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")), [*group, "_o"], "_i")
+    ends = placed.groupBy(*group).agg(F.min("_i").alias("_first"), (F.max("_i") - F.min("_i")).alias("_last"), F.count("*").alias("_size"))
+    at = lookup_skewed(placed, durable(ends), group, "_size").withColumn("_n", F.col("_i") - F.col("_first"))
+    n, last = F.col("_n").cast("double"), F.col("_last").cast("double")
+    turn = max(0.0, math.ceil((10 * decay - 1) / (1 - decay))) if warm and decay < 1 else 0.0  # from here on decay itself
+    warm_to = F.least(last, F.lit(turn - 1))
+    later = F.lit(1.0)
+    for k in range(2, 11):
+        later = later * (n + k) / (F.greatest(warm_to, n) + k)
+    later = (later if turn else F.lit(1.0)) * F.pow(F.lit(decay), F.greatest(F.lit(0.0), last - F.greatest(n, F.lit(turn - 1) if turn else n)))
+    own = F.when((n < turn) if turn else F.lit(False), (1 + n) / (10 + n)).otherwise(F.lit(decay))
+    weight = F.when(n == 0, 1.0).otherwise(1 - own) * later
+    return at.groupBy(*group).agg(F.sum(weight * F.col("_v")).alias("ema"))
 
 
 def prompt_text(mode: str, variant: Column, instruction: Column, prompt: Column, given: Column) -> Column:

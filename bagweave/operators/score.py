@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bags
+from .corpus import top_per_group
 
 
 def mean0(c: Column | str) -> Column:
@@ -33,28 +34,23 @@ def with_all_bucket(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.explode(F.array(F.coalesce(F.col(column), F.lit("unknown")), F.lit("all"))))
 
 
-def ranked(rows: DataFrame, problem: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with ``rn``, 1-based, within each problem; a problem has few samples, so its window is small."""
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*problem).orderBy(*order)))
-
-
 def curves(rows: DataFrame, group: list[str], problem: list[str], order: list[str], best: dict[str, str], passes: dict[str, Column], max_k: int) -> DataFrame:
     """Per group and k: the mean over problems of the running best of the first k samples.
 
     ``best``: output name to metric (its largest); ``passes``: output name to condition (any). A problem with fewer
-    than k samples counts with all it has. k runs to the largest problem of the group, ``max_k`` at most. One window
-    pass over the samples, then one row per problem and k.
+    than k samples counts with all it has. k runs to the largest problem of the group, ``max_k`` at most. Only the
+    first ``max_k`` samples of a problem matter, and they are found in two levels, so a hot problem is no hot task.
     """
     keys = [*group, *problem]
-    w = W.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    cols = [F.max(F.coalesce(F.col(m), F.lit(0.0))).over(run).alias(n) for n, m in best.items()]
-    cols += [F.max(F.coalesce(c, F.lit(False)).cast("double")).over(run).alias(n) for n, c in passes.items()]
-    r = rows.select(*keys, F.row_number().over(w).alias("rn"), F.count("*").over(W.partitionBy(*keys)).alias("n"), *cols).filter(F.col("rn") <= max_k)
+    values = [F.coalesce(F.col(m), F.lit(0.0)).alias(n) for n, m in best.items()] + [F.coalesce(c, F.lit(False)).cast("double").alias(n) for n, c in passes.items()]
+    first = top_per_group(rows.select(*keys, *order, *values), keys, [F.col(o) for o in order], max_k)
+    w = W.partitionBy(*keys)
+    run = w.orderBy("rn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    names = [*best, *passes]
+    r = first.select(*keys, "rn", F.count("*").over(w).alias("n"), *[F.max(n).over(run).alias(n) for n in names])
     ends = r.withColumn("k", F.explode(F.when(F.col("rn") < F.col("n"), F.array("rn")).otherwise(F.sequence(F.col("rn"), F.greatest(F.col("rn"), F.lit(max_k))))))
-    out = ends.groupBy(*group, "k").agg(*[F.avg(n).alias(n) for n in [*best, *passes]], F.max("n").alias("_n"), F.count("*").alias("problems"))
-    natural = W.partitionBy(*group)
-    return out.withColumn("_n", F.max("_n").over(natural)).filter(F.col("k") <= F.col("_n")).drop("_n")
+    out = ends.groupBy(*group, "k").agg(*[F.avg(n).alias(n) for n in names], F.max("n").alias("_n"), F.count("*").alias("problems"))
+    return out.withColumn("_n", F.max("_n").over(W.partitionBy(*group))).filter(F.col("k") <= F.col("_n")).drop("_n")
 
 
 def first_and_best(rows: DataFrame, problem: list[str], order: str, score: str) -> DataFrame:

@@ -9,17 +9,19 @@ from ..functions import bags
 from .joins import last_per_key
 
 
-def group_stability(rows: DataFrame, group: list[str], order: str, tokens: str = "p", similarity=bags.bag_jaccard) -> DataFrame:
+def group_stability(rows: DataFrame, group: list[str], tokens: str = "p", similarity=bags.bag_jaccard) -> DataFrame:
     """(group, stability, members): the mean similarity over unordered pairs of a group; 1.0 for a single member.
 
-    A group is the handful of replies to one prompt; its pairs are formed by an equi-join on the group. Groups that
-    may be large need ``equal_bag_stability``.
+    Equal bags are one class, weighted by its size, and only classes meet: copies are never paired up. The similarity
+    must not depend on the order of tokens.
     """
-    a = rows.select(*group, F.col(order).alias("_i"), F.col(tokens).alias("_a"))
-    b = rows.select(*group, F.col(order).alias("_j"), F.col(tokens).alias("_b"))
-    pairs = a.join(b, group).filter("_i < _j").groupBy(*group).agg(F.avg(similarity(F.col("_a"), F.col("_b"))).alias("stability"))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("members"))
-    return sizes.join(pairs, group, "left").withColumn("stability", F.coalesce("stability", F.lit(1.0)))
+    c = rows.groupBy(*group, F.array_sort(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("_a")).agg(F.count("*").cast("double").alias("_n"))
+    total = c.groupBy(*group).agg(F.sum("_n").alias("members"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_same"))
+    other = c.select(*group, F.col("_a").alias("_b"), F.col("_n").alias("_m"))
+    pairs = c.join(other, group).filter("_a < _b").groupBy(*group).agg(F.sum(similarity(F.col("_a"), F.col("_b")) * F.col("_n") * F.col("_m")).alias("_s"))
+    mean = F.try_divide(F.col("_same") + F.coalesce("_s", F.lit(0.0)), F.col("members") * (F.col("members") - 1) / 2)
+    out = total.join(pairs, group, "left")
+    return out.select(*group, F.coalesce(mean, F.lit(1.0)).alias("stability"), F.col("members").cast("bigint").alias("members"))
 
 
 def variant_stability(rows: DataFrame, problem: list[str], sample: str, variant: str, order: str) -> DataFrame:
@@ -34,10 +36,10 @@ def variant_stability(rows: DataFrame, problem: list[str], sample: str, variant:
     return a.join(b, [*problem, sample]).filter("_i < _j").groupBy(*problem).agg(F.avg(bags.bag_jaccard(F.col("_a"), F.col("_b"))).alias("stability"), F.count("*").alias("pairs"))
 
 
-def order_effect(permuted: DataFrame, resampled: DataFrame, group: list[str], order: str) -> DataFrame:
+def order_effect(permuted: DataFrame, resampled: DataFrame, group: list[str]) -> DataFrame:
     """Per group: stability over permutations, over resamples, and how much less stable permuting is."""
-    p = group_stability(permuted, group, order).select(*group, F.col("stability").alias("perm_stability"))
-    r = group_stability(resampled, group, order).select(*group, F.col("stability").alias("resample_stability"))
+    p = group_stability(permuted, group).select(*group, F.col("stability").alias("perm_stability"))
+    r = group_stability(resampled, group).select(*group, F.col("stability").alias("resample_stability"))
     return p.join(r, group).withColumn("order_effect", F.col("resample_stability") - F.col("perm_stability"))
 
 

@@ -392,9 +392,7 @@ def order_effect(spark, d):
     key = ["model", "benchmark_id", "sample_idx", "variant"]
     slots = _samples(spark, d).groupBy(*key).agg(F.max_by("p", "sample_id").alias("p"))
     group = ["model", "benchmark_id"]
-    perm = slots.filter("sample_idx = 0").withColumnRenamed("variant", "o")
-    res = slots.filter("variant = 0").withColumnRenamed("sample_idx", "o")
-    per = stability.order_effect(perm, res, group, "o")
+    per = stability.order_effect(slots.filter("sample_idx = 0"), slots.filter("variant = 0"), group)
     return per.groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("perm_stability", "resample_stability", "order_effect")], F.count("*").alias("problems"))
 
 
@@ -405,7 +403,7 @@ def order_effect(spark, d):
 )
 def pairwise_stability(spark, d):
     rows = table(spark, d, "curated_permutation").select(F.coalesce("canonical_id", "topic", F.lit("ungrouped")).alias("group_id"), "row_id", tk.emoji_tokens(F.col("response_emoji")).alias("p"))
-    return stability.group_stability(rows, ["group_id"], "row_id").select("group_id", "members", *r6("stability"))
+    return stability.group_stability(rows, ["group_id"]).select("group_id", "members", *r6("stability"))
 
 
 @query(f"SELECT model, round(sum(benchmark_score * nt) / sum(nt), 6) AS nll, round(sum(benchmark_score * nt) / sum(nt) / ln(2), 6) AS bpd, round(exp(sum(benchmark_score * nt) / sum(nt)), 6) AS ppl FROM ({_SCORED}) GROUP BY model")
