@@ -87,12 +87,17 @@ def copy_rate(p: Column, prompt: Column) -> Column:
 F1_WEIGHT, BAG_WEIGHT, SET_WEIGHT, LENGTH_WEIGHT = 0.50, 0.25, 0.15, 0.10
 
 
+def benchmark_score(f: Column, bag: Column, sets: Column, length: Column) -> Column:
+    """The weighted score of four metrics."""
+    return F1_WEIGHT * f + BAG_WEIGHT * bag + SET_WEIGHT * sets + LENGTH_WEIGHT * length
+
+
 def bag_metrics(p: Column, t: Column) -> Column:
     """All metrics of a pair as one struct; the overlap is taken once."""
 
     def finish(both: Column) -> Column:
         prec, rec, jac = precision(p, t, both), recall(p, t, both), bag_jaccard(p, t, both)
-        score = F1_WEIGHT * f1(prec, rec) + BAG_WEIGHT * jac + SET_WEIGHT * set_jaccard(p, t) + LENGTH_WEIGHT * length_score(p, t)
+        score = benchmark_score(f1(prec, rec), jac, set_jaccard(p, t), length_score(p, t))
         return F.struct(
             score.alias("benchmark_score"), f1(prec, rec).alias("bag_f1"), prec.alias("bag_precision"), rec.alias("bag_recall"),
             jac.alias("bag_jaccard"), set_jaccard(p, t).alias("set_jaccard"), length_score(p, t).alias("length_score"),

@@ -20,13 +20,38 @@ def mean_or_zero(c: Column | str) -> Column:
 
 
 def scored_pairs(pairs: DataFrame, prediction: str = "p", target: str = "t") -> DataFrame:
-    """``pairs`` with every metric of two token-array columns."""
-    return pairs.withColumn("_m", bags.bag_metrics(F.col(prediction), F.col(target))).select("*", "_m.*").drop("_m")
+    """``pairs`` with every metric of two token-array columns.
 
+    In steps, each of which names what the next one uses: the overlap is found once a row and the rest stays in
+    generated code, which the one-expression form ``bags.bag_metrics`` can't.
+    """
+    p, t, both = F.col(prediction), F.col(target), F.col("_both")
+    base = pairs.withColumn("_both", bags.overlap(p, t))
+    base = base.withColumns({
+        "bag_precision": bags.precision(p, t, both), "bag_recall": bags.recall(p, t, both), "bag_jaccard": bags.bag_jaccard(p, t, both), "set_jaccard": bags.set_jaccard(p, t),
+        "length_score": bags.length_score(p, t), "exact_bag_match": bags.exact_bag(p, t), "exact_sequence_match": bags.exact_sequence(p, t),
+        "prediction_len": F.coalesce(F.size(p), F.lit(0)), "target_len": F.coalesce(F.size(t), F.lit(0)),
+    })
+    base = base.withColumn("bag_f1", bags.f1(F.col("bag_precision"), F.col("bag_recall")))
+    return base.withColumn("benchmark_score", bags.benchmark_score(*map(F.col, ("bag_f1", "bag_jaccard", "set_jaccard", "length_score")))).drop("_both")
+
+
+METRICS = ("benchmark_score", "bag_f1", "bag_precision", "bag_recall", "bag_jaccard", "set_jaccard", "length_score", "exact_bag_match", "exact_sequence_match", "prediction_len", "target_len")
 
-def scored_references(pairs: DataFrame, prediction: str = "p", references: str = "refs") -> DataFrame:
-    """``pairs`` with the metrics against the best reference and its index."""
-    return pairs.withColumn("_m", bags.best_reference(F.col(prediction), F.col(references))).select("*", "_m.*").drop("_m")
+
+def scored_references(pairs: DataFrame, key: str, prediction: str = "p", references: str = "refs") -> DataFrame:
+    """(key, metrics, reference): the metrics against the best of each row's references, and its 0-based index.
+
+    The rule is that of ``bags.best_reference``. References become rows, as their metrics then run in generated code;
+    all rows of a key come from one row, so the best is found before the shuffle.
+    """
+    refs = F.filter(F.transform(references, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: F.size(x["r"]) > 0)
+    rows = pairs.select(key, prediction, F.explode_outer(refs).alias("_x"))
+    rows = rows.select(key, prediction, F.coalesce(F.col("_x.i"), F.lit(-1)).alias("reference"), F.coalesce(F.col("_x.r"), F.array().cast("array<string>")).alias("_t"))
+    scored = scored_pairs(rows, prediction, "_t")
+    rank = F.struct("benchmark_score", "bag_f1", "bag_jaccard", -F.col("reference"))
+    best = scored.groupBy(key).agg(F.max_by(F.struct("reference", *METRICS), rank).alias("_m"))
+    return best.select(key, "_m.*")
 
 
 def with_all_bucket(rows: DataFrame, column: str) -> DataFrame:

@@ -105,7 +105,7 @@ _REFS = f"""SELECT s.sample_id, s.p, r.i - 1 AS reference, {sql.emoji("b.referen
 def best_reference(spark, d):
     refs = table(spark, d, "reply_benchmark").select("benchmark_id", F.transform("reference_replies", tk.emoji_tokens).alias("refs"))
     rows = _samples(spark, d).select("sample_id", "benchmark_id", "p").join(broadcast_if_small(refs, 50_000), "benchmark_id")
-    return score.scored_references(rows).select("sample_id", F.col("reference").cast("bigint").alias("reference"), *r6("benchmark_score", "bag_f1"))
+    return score.scored_references(rows, "sample_id").select("sample_id", F.col("reference").cast("bigint").alias("reference"), *r6("benchmark_score", "bag_f1"))
 
 
 @query(f"SELECT sample_id, round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(p, lambda x: list_contains(pr, x)))::DOUBLE / len(p) END, 6) AS copy_rate FROM ({_SAMPLES})")

@@ -66,6 +66,15 @@ def test_first_best_and_all_bucket(spark):
     assert math.isnan(rows.limit(0).agg(score.mean0("score")).first()[0]) and rows.limit(0).agg(score.mean_or_zero("score")).first()[0] == 0.0
 
 
+def test_references_as_rows_and_as_expression_agree(spark):
+    from bagweave.functions import bags
+
+    rows = spark.createDataFrame([(1, ["a"], [[], ["b"], ["a", "x"], ["x", "a"]]), (2, ["a"], [[]]), (3, [], None), (4, None, [["q"]]), (5, ["a", "b"], [["b", "a"], ["a", "b"]])], "k int, p array<string>, refs array<array<string>>")
+    got = {r.k: (r.reference, r.benchmark_score, r.bag_f1) for r in score.scored_references(rows, "k").collect()}
+    other = rows.select("k", bags.best_reference(F.col("p"), F.col("refs")).alias("m")).select("k", "m.*").collect()
+    assert got == {r.k: (r.reference, r.benchmark_score, r.bag_f1) for r in other} and got[1][0] == 2 and got[3] == (-1, 1.0, 1.0)
+
+
 def test_stability(spark):
     rows = spark.createDataFrame([("g", 0, ["a"]), ("g", 1, ["a"]), ("g", 2, ["b"]), ("h", 0, [])], "g string, o int, p array<string>")
     got = {r.g: (r.stability, r.members) for r in stability.group_stability(rows, ["g"]).collect()}
