@@ -112,3 +112,15 @@ def term_counts(vocabulary: tuple[str, ...], *texts: Column) -> Column:
         return one
 
     return per_value("array<struct<term:string,n:int>>", make)(*texts)
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> list:
+    """At most ``limit`` rows, those first by hash of ``key``, for fitting a model on the driver.
+
+    A hash threshold from the row count leaves about twice the limit before the ordering, so what tasks send to the
+    driver is bounded however many tasks there are. Below 4 * limit rows the threshold lets all pass.
+    """
+    n = df.count()
+    if n > 4 * limit:
+        df = df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * 2.0 * limit / n))
+    return df.orderBy(F.xxhash64(F.lit("sample"), key), key).limit(limit).collect()
