@@ -58,7 +58,10 @@ def fingerprint(df: DataFrame, fields: dict[str, tuple] = FINGERPRINT) -> Column
 
 def split_key(df: DataFrame, strategy: str = "prompt_bag") -> Column:
     """The bag key that rows of one split share: prompt_bag, response_bag or prompt_response_bag."""
-    prompt, response = (bag_key(emoji_tokens(first_with_tokens(df, names, default=""))) for names in (PROMPT, RESPONSE))
+    def bag(names) -> Column:  # of the first alias with tokens: its key is the first that isn't empty
+        return F.coalesce(*[F.nullif(bag_key(emoji_tokens(c.cast("string"))), F.lit("")) for c in _there(df, names)], F.lit(""))
+
+    prompt, response = bag(PROMPT), bag(RESPONSE)
     keys = {"prompt_bag": prompt, "response_bag": response, "prompt_response_bag": F.concat(prompt, F.lit("=>"), response)}
     if strategy not in keys:
         raise ValueError(f"unknown split strategy {strategy!r}: use random or one of {sorted(keys)}")

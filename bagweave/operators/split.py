@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alias
-from ..runtime import hash_unit
+from ..runtime import durable, hash_unit
 from .joins import without_holdout
 
 
@@ -49,7 +49,7 @@ def split_rows(rows: DataFrame, strategy: str = "prompt_bag", share: float = 0.0
         rows = without_holdout(rows, holdout)
     if strategy != "random":
         keyed = rows.withColumn("_key", alias.split_key(rows, strategy))
-        keys = keyed.select(F.col("_key").alias("key")).distinct()
+        keys = durable(keyed.select(F.col("_key").alias("key")).distinct())
         if keys.limit(2).count() == 2:
             held = held_out_keys(keys, share, seed).select(F.col("key").alias("_key"), F.lit(True).alias("_held"))
             return keyed.join(held, "_key", "left").withColumn("part", F.when(F.col("_held"), "validation").otherwise("train")).drop("_key", "_held")

@@ -12,7 +12,7 @@ from ..functions import alias, bags, detokenize, noise, vectors
 from ..functions import sequences as sq
 from ..functions import tokens as tk
 from ..operators import corpus, joins, score, semantic, split, stability
-from ..runtime import broadcast_if_small, hash_unit, table
+from ..runtime import broadcast_if_small, hash_unit, spread, table
 from ..streaming import incremental
 from . import sql
 
@@ -44,7 +44,8 @@ def s6(*names: str) -> str:
 def _samples(spark, d):
     """Samples of known benchmarks with token arrays of reply, target and prompt."""
     bench = table(spark, d, "reply_benchmark").select("benchmark_id", "topic", tk.emoji_tokens(F.col("target_emoji")).alias("t"), tk.emoji_tokens(F.col("prompt_emoji")).alias("pr"))
-    rows = table(spark, d, "raw_sample").select("sample_id", "model", "benchmark_id", F.coalesce("prompt_mode", F.lit("unknown")).alias("prompt_mode"), F.coalesce("prompt_variant_idx", F.lit(0)).alias("variant"), "sample_idx", "error", "raw_prediction", tk.emoji_tokens(F.col("generated_emoji")).alias("p"))
+    rows = spread(table(spark, d, "raw_sample").select("sample_id", "model", "benchmark_id", "prompt_mode", "prompt_variant_idx", "sample_idx", "error", "raw_prediction", "generated_emoji"))
+    rows = rows.select("sample_id", "model", "benchmark_id", F.coalesce("prompt_mode", F.lit("unknown")).alias("prompt_mode"), F.coalesce("prompt_variant_idx", F.lit(0)).alias("variant"), "sample_idx", "error", "raw_prediction", tk.emoji_tokens(F.col("generated_emoji")).alias("p"))
     return rows.join(broadcast_if_small(bench, 50_000), "benchmark_id")
 
 
@@ -281,7 +282,7 @@ _SPLIT = f"""WITH rows AS (SELECT row_id, {sql.key(f"CASE WHEN len({sql.emoji('i
 
 
 def _split(spark, d):
-    return split.split_rows(table(spark, d, "heldout_validation"), "prompt_bag", 0.05, 42, holdout=table(spark, d, "reply_benchmark"))
+    return split.split_rows(spread(table(spark, d, "heldout_validation")), "prompt_bag", 0.05, 42, holdout=table(spark, d, "reply_benchmark"))
 
 
 @query(f"{_SPLIT} SELECT row_id, part FROM parts")
@@ -300,7 +301,7 @@ def hash_split_summary(spark, d):
     SELECT row_id FROM rows WHERE k IN (SELECT k FROM keys WHERE rn <= least(greatest(1, round_even(n * 0.1, 0)), n - 1))"""
 )
 def partition_validation(spark, d):
-    return split.partition_rows(table(spark, d, "heldout_validation"), "validation", "response_bag", 0.1).select("row_id")
+    return split.partition_rows(spread(table(spark, d, "heldout_validation")), "validation", "response_bag", 0.1).select("row_id")
 
 
 @query(f"SELECT row_id, CASE WHEN {sql.unit("'7:' || row_id::VARCHAR")} < 0.05 THEN 'validation' ELSE 'train' END AS part FROM heldout_validation")
@@ -532,7 +533,7 @@ def chunk_text(spark, d):
 
 def _detok(name):
     def run(spark, d):
-        return table(spark, d, "documents").select("doc_id", F.md5(detokenize.DETOKENIZERS[name](F.col("text"))).alias("text"))
+        return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(detokenize.DETOKENIZERS[name](F.col("text"))).alias("text"))
 
     run.__name__ = f"detok_{name}"
     query(f"SELECT doc_id, md5({sql.DETOKENIZED[name]('text')}) AS text FROM documents" if name in sql.DETOKENIZED else None)(run)
