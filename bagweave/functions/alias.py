@@ -66,3 +66,37 @@ def split_key(df: DataFrame, strategy: str = "prompt_bag") -> Column:
     if strategy not in keys:
         raise ValueError(f"unknown split strategy {strategy!r}: use random or one of {sorted(keys)}")
     return keys[strategy]
+
+
+def reply_content(response: Column) -> Column:
+    """struct(text, finish_reason) of the first choice of a chat response in JSON.
+
+    The content is a string, or a list of which plain strings and parts of type 'text' are joined. '' and null
+    without a choice, for null and for broken JSON.
+    """
+    parts = F.from_json(F.get_json_object(response, "$.choices[0].message.content"), "array<string>")
+    part = F.transform(parts, lambda p: F.when(F.get_json_object(p, "$.type") == "text", F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).when(F.get_json_object(p, "$.type").isNull() & ~p.startswith("{"), p).otherwise(""))
+    whole = F.get_json_object(response, "$.choices[0].message.content")
+    text = F.when(whole.startswith("[") & parts.isNotNull(), F.array_join(part, "")).otherwise(F.coalesce(whole, F.lit("")))
+    return F.struct(text.alias("text"), F.get_json_object(response, "$.choices[0].finish_reason").alias("finish_reason"))
+
+
+def problem_key(df: DataFrame) -> Column:
+    """struct(example_id, pattern): the example_id, or benchmark_id, prompt and reply joined where that is missing."""
+
+    def named(*names: str) -> Column:
+        return first_truthy(df, names)
+
+    made = F.concat_ws("|", named("benchmark_id"), named("prompt", "prompt_emoji"), named("reply"))
+    pattern = F.coalesce(F.nullif(named("pattern"), F.lit("")), F.lit("unknown"))
+    return F.struct(F.coalesce(F.nullif(named("example_id"), F.lit("")), made).alias("example_id"), pattern.alias("pattern"))
+
+
+def eligible(prompt: Column, reply: Column, least_prompt: int = 2, least_reply: int = 1) -> Column:
+    """Whether a pair of token arrays is long enough to be used."""
+    return (F.coalesce(F.size(prompt), F.lit(0)) >= least_prompt) & (F.coalesce(F.size(reply), F.lit(0)) >= least_reply)
+
+
+def not_both_empty(left: Column, right: Column) -> Column:
+    """False only for pairs with neither side."""
+    return eligible(left, right, 1, 0) | eligible(left, right, 0, 1)

@@ -113,6 +113,17 @@ def gumbel_key(p: Column, u: Column) -> Column:
     return p / (1e-10 - F.log(u + 1e-10))
 
 
+def drawn(p: Column, units: Column) -> Column:
+    """The 0-based position drawn from unnormalised probabilities by one uniform per position; the first of equals."""
+    keys = F.zip_with(p, units, gumbel_key)
+    return F.array_position(keys, F.array_max(keys)).cast("int") - 1
+
+
+def cropped(ids: Column, start: Column, length: int, bos: int) -> Column:
+    """A window of a double-length sequence; its first id becomes BOS."""
+    return F.concat(F.array(F.lit(bos)), F.slice(ids, start + 2, F.lit(length - 1)))
+
+
 def d3pm_parameterized(logits: Column, mask_id: int | None = None) -> Column:
     """Log probabilities; the mask is forbidden if it is named."""
     return log_softmax(logits if mask_id is None else F.transform(logits, lambda x, i: F.when(i == mask_id, FORBIDDEN).otherwise(x)))

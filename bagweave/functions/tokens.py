@@ -88,5 +88,5 @@ def with_tokenizer(text: Column, make: Callable[[], Callable[[str], list[int]]])
 
 
 def model_label(name: Column) -> Column:
-    """A model id as a label: its last path part, dots and colons as underscores."""
-    return F.translate(F.regexp_extract(name, r"([^/]*)$", 1), ".:", "__")
+    """A model id as a label: slashes, colons, dots and hyphens become underscores."""
+    return F.translate(name, "/:.-", "____")

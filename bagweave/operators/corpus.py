@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..runtime import broadcast_if_small, durable, lookup_skewed
+from ..runtime import broadcast_if_small, durable, hash_unit, lookup_skewed
 
 #: Ids below are special tokens.
 FIRST_ID = 5
@@ -166,16 +166,38 @@ def sample_per_group(rows: DataFrame, group: list[str], key: str, k: int, seed:
     return top_per_group(rows, group, [hash_order(str(seed), F.col(key)), F.col(key)], k).drop("rn")
 
 
-def generated_pairs(topics: DataFrame, per_message: int, reply_len: int, seed: int = 42) -> DataFrame:
-    """Synthetic pairs from (topic, messages, pool): per message and repeat, a reply of pool tokens in hash order.
+#: First words that stay as they are behind a prefix.
+PRONOUNS = ("I", "I'm", "I've", "I'll", "I'd")
 
-    Distinct (topic, message, reply) only. A message that names its topic stays, others get it as a prefix.
+
+def generated_pairs(topics: DataFrame, per_message: int, least: int = 1, most: int = 3, prefixes: tuple[str, ...] = ("",), seed: int = 42) -> DataFrame:
+    """(topic, instruction, prompt_emoji, input, output): synthetic pairs from (topic, messages, pool).
+
+    Each message gets one prefix, and per draw a reply and a prompt of ``least`` to ``most`` different pool tokens; all
+    choices go by hash, so they do not depend on partitions. Behind a prefix a message starts in lower case, pronouns
+    apart; the whole starts in upper case. Equal (instruction, output) pairs count once. input is empty.
     """
+
+    def unit(*parts: Column) -> Column:
+        return hash_unit(str(seed), *parts)
+
     m = topics.select("topic", "pool", F.explode("messages").alias("message"))
+    prefix = F.element_at(F.array(*map(F.lit, prefixes)), F.floor(unit(F.lit("prefix"), F.col("topic"), F.col("message")) * len(prefixes)).cast("int") + 1)
+    lowered = F.concat(F.lower(F.substring("message", 1, 1)), F.expr("substring(message, 2)"))
+    body = F.when((prefix == "") | F.split("message", " ")[0].isin(*PRONOUNS), F.col("message")).otherwise(lowered)
+    whole = F.trim(F.concat(prefix, body))
+    m = m.withColumn("instruction", F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, F.lit(2), F.char_length(whole))))
     m = m.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_message))))
-    named = F.when(F.contains(F.lower("message"), F.lower("topic")), F.col("message")).otherwise(F.concat("topic", F.lit(": "), "message"))
-    mixed = F.transform(F.array_sort(F.transform("pool", lambda t: F.struct(F.sha1(F.concat_ws(":", F.lit(str(seed)), "topic", "message", F.col("draw").cast("string"), t)).alias("h"), t.alias("t")))), lambda s: s["t"])
-    return m.select("topic", named.alias("instruction"), F.array_join(F.slice(mixed, 1, reply_len), "").alias("output")).distinct()
+
+    def combination(kind: str) -> Column:
+        key = [F.lit(kind), F.col("topic"), F.col("message"), F.col("draw")]
+        mixed = F.array_sort(F.transform("pool", lambda t: F.struct(F.sha1(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key], t)).alias("h"), t.alias("t"))))
+        k = F.floor(unit(F.lit(f"{kind} size"), *key[1:]) * (most - least + 1)).cast("int") + least
+        return F.array_join(F.transform(F.slice(mixed, F.lit(1), k), lambda s: s["t"]), "")
+
+    made = m.select("topic", "instruction", combination("prompt").alias("prompt_emoji"), F.lit("").alias("input"), combination("reply").alias("output"))
+    first = made.groupBy("instruction", "output").agg(F.min(F.struct("topic", "prompt_emoji", "input")).alias("r"))
+    return first.select("r.topic", "instruction", "r.prompt_emoji", "r.input", "output")
 
 
 def ema(rows: DataFrame, group: list[str], order: str, value: str, decay: float = 0.9999, warm: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import bags
+from ..functions import bags, vectors
 from .corpus import top_per_group
 
 
@@ -89,3 +89,41 @@ def first_and_best(rows: DataFrame, problem: list[str], order: str, score: str)
         F.max_by(body, F.struct(F.col(score), -F.col(order))).alias("best"),
         F.count("*").alias("samples"),
     )
+
+
+#: Limits under which a reply passes by meaning.
+COSINE_PASS, GEODESIC_PASS, L2_PASS = 0.65, 0.28, 0.84
+
+
+def with_semantic_distances(rows: DataFrame, cosine: str = "semantic_target_cosine", geodesic: str = "semantic_geodesic_distance", l2: str = "semantic_embedding_distance") -> DataFrame:
+    """Missing distances made from the cosine; those that are there stay. A missing cosine makes none."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
+    if cosine not in rows.columns:
+        return rows
+    return rows.withColumn(geodesic, F.coalesce(have(geodesic), vectors.geodesic(F.col(cosine)))).withColumn(l2, F.coalesce(have(l2), vectors.l2_of_cosine(F.col(cosine))))
+
+
+def semantic_passes(cosine: str = "semantic_target_cosine", geodesic: str = "semantic_geodesic_distance", l2: str = "semantic_embedding_distance") -> dict[str, Column]:
+    """Conditions for ``curves``: near enough by cosine, by angle and by distance."""
+    return {"pass_semantic": F.col(cosine) >= COSINE_PASS, "pass_geodesic": F.col(geodesic) <= GEODESIC_PASS, "pass_l2": F.col(l2) <= L2_PASS}
+
+
+def sample_summary(rows: DataFrame, group: list[str], problem: str, order: str, stability: DataFrame) -> DataFrame:
+    """Per group: first and best sample means, copy rates, the share of problems with an exact bag, stability.
+
+    ``rows`` hold the metrics, copy_rate and invalid_text_ratio; ``stability`` is (group, problem, stability) of the
+    problems it applies to. Without any, the mean is NaN, the count 0 and the status 'not_applicable'. ``best_all_*``
+    take all samples of a problem, however many.
+    """
+    kept = [*group, problem, order, "benchmark_score", "bag_f1", "bag_jaccard", "exact_bag_match", "copy_rate", "invalid_text_ratio"]
+    per = first_and_best(rows.select(*kept), [*group, problem], order, "benchmark_score")
+    exact = rows.groupBy(*group, problem).agg(F.max("exact_bag_match").alias("any_exact"), F.sum("copy_rate").alias("copied"), F.sum("invalid_text_ratio").alias("invalid"))
+    joined = per.join(exact, [*group, problem]).join(stability, [*group, problem], "left")
+    means = {"first_benchmark_score": "first.benchmark_score", "first_bag_f1": "first.bag_f1", "first_bag_jaccard": "first.bag_jaccard", "first_exact_bag_match": "first.exact_bag_match", "first_copy_rate": "first.copy_rate"}
+    means |= {"best_all_benchmark_score": "best.benchmark_score", "best_all_bag_f1": "best.bag_f1", "best_all_bag_jaccard": "best.bag_jaccard", "best_all_copy_rate": "best.copy_rate", "pass_all_exact_bag": "any_exact"}
+    n = F.count("stability")
+    return joined.groupBy(*group).agg(
+        F.count("*").alias("problems"), F.sum("samples").alias("samples"), *[F.avg(c).alias(k) for k, c in means.items()],
+        (F.sum("copied") / F.sum("samples")).alias("mean_copy_rate"), (F.sum("invalid") / F.sum("samples")).alias("invalid_text_ratio"),
+        F.coalesce(F.avg("stability"), F.lit(float("nan"))).alias("permutation_stability"), n.alias("permutation_stability_n"), F.when(n > 0, "ok").otherwise("not_applicable").alias("permutation_stability_status"),
+    )

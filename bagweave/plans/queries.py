@@ -407,6 +407,25 @@ def pairwise_stability(spark, d):
     return stability.group_stability(rows, ["group_id"]).select("group_id", "members", *r6("stability"))
 
 
+_RICH = sql.metrics(f"SELECT *, CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(p, lambda x: list_contains(pr, x)))::DOUBLE / len(p) END AS copy_rate FROM ({_SAMPLES})")
+
+
+@query(
+    f"""WITH s AS ({_RICH}), f AS (SELECT model, benchmark_id, count(*) AS n, arg_min(benchmark_score, sample_id) AS fs, arg_min(copy_rate, sample_id) AS fc, max(benchmark_score) AS bs,
+    arg_max(copy_rate, (benchmark_score, -sample_id)) AS bc, max(exact_bag_match) AS ex, sum(copy_rate) AS c FROM s GROUP BY ALL),
+    v AS ({_pair_sql("variant", "AND a.sample_idx IS NOT DISTINCT FROM b.sample_idx AND a.sample_idx IS NOT NULL", "")})
+    SELECT f.model, count(*) AS problems, sum(f.n)::BIGINT AS samples, round(avg(fs), 6) AS first_benchmark_score, round(avg(bs), 6) AS best_all_benchmark_score, round(avg(fc), 6) AS first_copy_rate,
+    round(avg(bc), 6) AS best_all_copy_rate, round(avg(ex), 6) AS pass_all_exact_bag, round(sum(c) / sum(f.n), 6) AS mean_copy_rate, round(avg(v.s), 6) AS permutation_stability, count(v.s) AS permutation_stability_n,
+    CASE WHEN count(v.s) > 0 THEN 'ok' ELSE 'not_applicable' END AS permutation_stability_status FROM f LEFT JOIN v USING (model, benchmark_id) GROUP BY f.model"""
+)
+def sample_summary(spark, d):
+    rows = _scored(spark, d).withColumn("copy_rate", bags.copy_rate(F.col("p"), F.col("pr"))).withColumn("invalid_text_ratio", F.lit(0.0))
+    stable = stability.variant_stability(_samples(spark, d), ["model", "benchmark_id"], "sample_idx", "variant", "sample_id").select("model", "benchmark_id", "stability")
+    out = score.sample_summary(rows, ["model"], "benchmark_id", "sample_id", stable)
+    rounded = ("first_benchmark_score", "best_all_benchmark_score", "first_copy_rate", "best_all_copy_rate", "pass_all_exact_bag", "mean_copy_rate", "permutation_stability")
+    return out.select("model", "problems", "samples", *r6(*rounded), "permutation_stability_n", "permutation_stability_status")
+
+
 @query(f"SELECT model, round(sum(benchmark_score * nt) / sum(nt), 6) AS nll, round(sum(benchmark_score * nt) / sum(nt) / ln(2), 6) AS bpd, round(exp(sum(benchmark_score * nt) / sum(nt)), 6) AS ppl FROM ({_SCORED}) GROUP BY model")
 def weighted_ppl(spark, d):
     rows = _scored(spark, d).groupBy("model").agg((F.sum(F.col("benchmark_score") * F.col("target_len")) / F.sum("target_len")).alias("nll"))
@@ -418,7 +437,7 @@ def topic_list(spark, d):
     return table(spark, d, "reply_benchmark").select("topic").filter("topic IS NOT NULL").distinct()
 
 
-@query("SELECT DISTINCT model_id, translate(regexp_extract(model_id, '[^/]*$'), '.:', '__') AS label FROM raw_sample WHERE model_id IS NOT NULL")
+@query("SELECT DISTINCT model_id, replace(replace(replace(replace(model_id, '/', '_'), ':', '_'), '.', '_'), '-', '_') AS label FROM raw_sample WHERE model_id IS NOT NULL")
 def model_labels(spark, d):
     ids = table(spark, d, "raw_sample").select("model_id").filter("model_id IS NOT NULL").distinct()
     return ids.select("model_id", tk.model_label(F.col("model_id")).alias("label"))
@@ -709,7 +728,7 @@ def permutation_variants(spark, d):
 def generated_pairs(spark, d):
     rows = table(spark, d, "reply_benchmark").filter("topic IS NOT NULL")
     topics = rows.groupBy("topic").agg(F.array_distinct(F.collect_list("instruction")).alias("messages"), F.slice(F.array_distinct(F.flatten(F.collect_list(tk.emoji_tokens(F.col("target_emoji"))))), 1, 40).alias("pool"))
-    return corpus.generated_pairs(topics, 2, 3)
+    return corpus.generated_pairs(topics, 2, 1, 3, ("", "Ok ", "So "))
 
 
 @query()

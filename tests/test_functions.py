@@ -189,3 +189,19 @@ def test_model_side_arithmetic(spark):
     assert math.isclose(sum(map(math.exp, r[0])), 1) and math.isclose(math.exp(r[1][0]) + math.exp(r[1][1]), 1) and r[1][2] < -1e5
     assert r[2] == [0.0, noise.FORBIDDEN, noise.FORBIDDEN] and r[3][2] == 1.0 and all(p >= 0 for p in r[4])
     assert math.isclose(r[5], 2.0 + 1.0 * (0 - 1)) and math.isclose(r[6], 10 * 0.1 / 0.5) and r[7][1] == 0.0
+
+
+def test_reply_content_and_problem_keys(spark):
+    rows = spark.createDataFrame([(1, '{"choices": [{"message": {"content": "hi"}, "finish_reason": "stop"}]}'), (2, '{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, {"type": "image"}, "b"]}}]}'), (3, '{"choices": []}'), (4, None), (5, "{broken"), (6, '{"choices": [{"message": {"content": "[not a list"}}]}')], "id int, r string")
+    got = {r.id: tuple(r.c) for r in rows.select("id", alias.reply_content(F.col("r")).alias("c")).collect()}
+    assert got == {1: ("hi", "stop"), 2: ("ab", None), 3: ("", None), 4: ("", None), 5: ("", None), 6: ("[not a list", None)}
+    df = spark.createDataFrame([("e", "b", "p", "prefix"), ("", "b", "p", None)], "example_id string, benchmark_id string, prompt_emoji string, pattern string")
+    assert [tuple(r.k) for r in df.select(alias.problem_key(df).alias("k")).collect()] == [("e", "prefix"), ("b|p|", "unknown")]
+
+
+def test_eligibility_draws_and_labels(spark):
+    r = one(
+        spark, alias.eligible(arr("a", "b"), arr("c")), alias.eligible(arr("a"), arr("c")), alias.not_both_empty(arr(), arr()), alias.not_both_empty(arr(), arr("x")),
+        noise.drawn(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(0.9), F.lit(0.1))), noise.cropped(F.array(*map(F.lit, range(8))), F.lit(2), 4, 99), tk.model_label(F.lit("a/b-c.1:x")),
+    )
+    assert list(r) == [True, False, False, True, 1, [99, 3, 4, 5], "a_b_c_1_x"]

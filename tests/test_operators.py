@@ -138,6 +138,16 @@ def test_sampling_ema_and_generators(spark):
     assert resumed.count() == 15
 
 
+def test_generated_pairs_and_semantic_passes(spark):
+    topics = spark.createDataFrame([("t", ["I am late", "Big game"], ["a", "b", "c"])], "topic string, messages array<string>, pool array<string>")
+    rows = corpus.generated_pairs(topics, 20, 1, 2, ("Ok ",)).collect()
+    assert {r.instruction for r in rows} == {"Ok I am late", "Ok big game"} and len({(r.instruction, r.output) for r in rows}) == len(rows)
+    assert all(1 <= len(r.output) <= 2 and len(set(r.output)) == len(r.output) and set(r.prompt_emoji) <= set("abc") for r in rows)
+    df = score.with_semantic_distances(spark.createDataFrame([(1.0, None), (0.0, 0.1)], "semantic_target_cosine double, semantic_geodesic_distance double"))
+    got = [tuple(r) for r in df.select("semantic_geodesic_distance", F.round("semantic_embedding_distance", 4), *[c.alias(n) for n, c in score.semantic_passes().items()]).collect()]
+    assert got == [(0.0, 0.0, True, True, True), (0.1, 1.4142, False, True, False)]
+
+
 def test_nearest_against_brute_force(spark):
     rnd = random.Random(2)
     vecs = [(k, [rnd.gauss(0, 1) for _ in range(5)]) for k in range(60)] + [(100, None)]
