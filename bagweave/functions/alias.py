@@ -12,9 +12,9 @@ from .tokens import bag_key
 PROMPT = ("prompt_emoji", "source_emoji", "input_emoji", "prompt", "source", "input", "instruction", "text")
 RESPONSE = ("response_emoji", "target_emoji", "output_emoji", "response", "target", "output", "emoji")
 FINGERPRINT = {"input": ("input", "prompt_emoji", "source_emoji"), "instruction": ("instruction", "text"), "output": ("output", "emoji", "target_emoji", "response_emoji"), "topic": ("topic",)}
-FINGERPRINT_BUILDER = {"input": ("prompt_emoji", "input", "source_emoji"), "instruction": ("instruction", "text"), "output": ("target_emoji", "response_emoji", "output", "emoji"), "topic": ("topic",)}
+FINGERPRINT_BUILDER = {"input": ("input", "prompt_emoji"), "instruction": ("instruction", "text"), "output": ("output", "target_emoji", "response_emoji", "emoji"), "topic": ("topic",)}
 PREDICTION = ("generated_emoji", "output", "response", "completion", "text")
-HARVEST = ("emoji", "emojis", "text", "input", "output", "prompt", "response", "source_emoji", "target_emoji", "prompt_emoji")
+HARVEST = ("emoji", "output", "response", "response_emoji", "target", "target_emoji", "prompt", "prompt_emoji", "instruction", "input")
 RENAMES = {"instruction": "text", "output": "emoji"}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import alias, bags, detokenize, noise, vectors
 from ..functions import sequences as sq
 from ..functions import tokens as tk
-from ..operators import corpus, joins, score, semantic, split, stability
+from ..operators import benchmark, corpus, joins, score, semantic, split, stability
 from ..runtime import broadcast_if_small, hash_unit, spread, table
 from ..streaming import incremental
 from . import sql
@@ -163,7 +163,7 @@ def benchmark_summary(spark, d):
 
 _FP_HELD = sql.fingerprint(sql.first_truthy("instruction"), sql.first_truthy("input"), sql.first_truthy("output"), sql.first_truthy("topic"))
 _FP_BENCH = sql.fingerprint(sql.first_truthy("instruction"), sql.first_truthy("input", "prompt_emoji"), sql.first_truthy("output", "target_emoji"), sql.first_truthy("topic"))
-_FP_CURATED = sql.fingerprint(sql.first_truthy("instruction"), sql.first_truthy("prompt_emoji", "input"), sql.first_truthy("response_emoji", "output"), sql.first_truthy("topic"))
+_FP_CURATED = sql.fingerprint(sql.first_truthy("instruction"), sql.first_truthy("input", "prompt_emoji"), sql.first_truthy("output", "response_emoji"), sql.first_truthy("topic"))
 
 
 @query(f"SELECT row_id, {_FP_HELD} AS fp FROM heldout_validation")
@@ -309,6 +309,19 @@ def random_split(spark, d):
     return split.split_rows(table(spark, d, "heldout_validation"), "random", 0.05, 7).select("row_id", "part")
 
 
+@query(
+    f"""WITH r AS (SELECT row_id, coalesce(topic, '') AS topic, array_to_string({sql.emoji("coalesce(input, '')")}, '') AS prompt_emoji, array_to_string({sql.emoji("coalesce(output, '')")}, '') AS target_emoji, {_FP_HELD} AS fp,
+      {sql.key(f"CASE WHEN len({sql.emoji('input')}) > 0 THEN {sql.emoji('input')} ELSE {sql.emoji('instruction')} END")} AS k FROM heldout_validation),
+    keys AS (SELECT k, row_number() OVER (ORDER BY sha1('42:' || k)) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT k FROM r)),
+    f AS (SELECT topic, prompt_emoji, array_to_string(list(target_emoji ORDER BY o), '|') AS refs FROM (SELECT topic, prompt_emoji, target_emoji, min(row_id) AS o FROM r WHERE target_emoji <> '' GROUP BY ALL) GROUP BY ALL)
+    SELECT 'bench_' || row_id::VARCHAR || '_' || substr(fp, 1, 8) AS benchmark_id, r.topic, r.prompt_emoji, target_emoji, coalesce(refs, '') AS refs FROM r LEFT JOIN f USING (topic, prompt_emoji)
+    WHERE k IN (SELECT k FROM keys WHERE rn <= least(greatest(1, round_even(n * 0.05, 0)), n - 1))"""
+)
+def benchmark_build(spark, d):
+    rows = benchmark.materialized(spread(table(spark, d, "heldout_validation")), "row_id", "bench")
+    return rows.select("benchmark_id", "topic", "prompt_emoji", "target_emoji", F.array_join("references", "|").alias("refs"))
+
+
 # -- aggregates and curves -------------------------------------------------
 
 

@@ -184,7 +184,7 @@ def test_sources(spark, tmp_path):
         readers.by_extension(spark, "x.bin")
     both = readers.labelled(spark, [f"m={tmp_path}/a.jsonl", f"{tmp_path}/b.tsv"])
     assert {r.model for r in both.collect()} == {"m", "b"}
-    assert sorted(tuple(r) for r in readers.harvested_strings(spark.createDataFrame([("a", None, "b")], "text string, input string, output string")).collect()) == [("output", "b"), ("text", "a")]
+    assert sorted(tuple(r) for r in readers.harvested_strings(spark.createDataFrame([("a", None, "b")], "instruction string, input string, output string")).collect()) == [("instruction", "a"), ("output", "b")]
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("t", "abcdefghij")
     assert sorted(tuple(r) for r in readers.zipped_text(spark, str(tmp_path / "t.zip"), (5,), 2).collect()) == [(0, 0, "ab"), (0, 1, "cd"), (1, 0, "fg"), (1, 1, "hi")]
