@@ -95,7 +95,11 @@ def member_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, left_membe
 
 
 class Overlap:
-    """The overlap of an evaluation table with a training table of bags (row_id, bag_0, bag_1)."""
+    """The overlap of an evaluation table with a training table of bags (row_id, bag_0, bag_1).
+
+    Bags are sorted arrays without nulls; an empty bag equals an empty bag, so callers leave out rows that hold
+    nothing. Repeated row_ids give a pair each; an empty table gives no pairs. Other columns are ignored.
+    """
 
     def __init__(self, evaluation: DataFrame, training: DataFrame, near_from: int):
         self.left, self.left_members = bag_classes(evaluation)
