@@ -29,6 +29,7 @@ class _Gram:
         self.items: list[str] = []
         self.cells: list[np.ndarray] = []
         self.size = 0
+        self.sent = False
 
     def add(self, offsets: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(offsets)
@@ -56,6 +57,7 @@ class _Gram:
         return own[d.indices.to_numpy(zero_copy_only=False)] if len(values) else np.empty(0, np.int64)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        """The sums of the cells so far. The codes stay: the rest of the batch is still in them."""
         if self.cells:
             cell, n = np.unique(np.concatenate(self.cells), return_counts=True)
             items = np.array(self.items, dtype=object)
@@ -63,7 +65,13 @@ class _Gram:
             swap = a > b
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["item_a", "item_b", "together"])
-        self.codes, self.items, self.cells, self.size = {}, [], [], 0
+        self.cells, self.size, self.sent = [], 0, True
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """Ends a batch: if cells were sent on during it, sends the rest and drops the codes, which so stay bounded."""
+        if self.sent:
+            yield from self.flush()
+            self.codes, self.items, self.sent = {}, [], False
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +79,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(0)
         yield from g.add(lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), g.encode(lists.flatten()))
+        yield from g.end()
     yield from g.flush()
 
 

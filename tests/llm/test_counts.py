@@ -1,6 +1,7 @@
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
+import pyarrow as pa
 import pytest
 
 from bagweave.llm import cooccur, queries as Q, termstats
@@ -57,3 +58,15 @@ def test_baskets_with_nulls_repeats_and_many_blocks(spark, monkeypatch):
     assert n == 4 and got["a", "b"] == (2, 2, 2) and len(got) == 1 + 40 * 39 // 2
     empty, n = cooccur.item_pairs(spark.createDataFrame([], "items array<string>"))
     assert n == 0 and empty.count() == 0
+
+
+def test_cells_sent_on_within_a_batch_keep_their_items(monkeypatch):
+    monkeypatch.setattr(cooccur, "BLOCK_CELLS", 10)
+    baskets = [[chr(97 + (3 * k + j) % 23) for j in range(1 + k % 5)] for k in range(60)]
+    batches = [pa.record_batch([pa.array(part)], names=["items"]) for part in (baskets[:41], baskets[41:43], baskets[43:])]
+    wanted = Counter(p for b in baskets for p in combinations_with_replacement(sorted(b), 2))
+    got = Counter()
+    for out in cooccur._gram(iter(batches)):
+        for r in out.to_pylist():
+            got[r["item_a"], r["item_b"]] += r["together"]
+    assert got == wanted
