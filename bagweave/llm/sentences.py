@@ -4,19 +4,24 @@ Method: a pushdown automaton reads each paragraph's events (sentence marks, quot
 and keeps a stack of open quotations and brackets; list paragraphs are their own level, one sentence per item. An
 abbreviation trie is walked backwards from a full stop, and marks of every script end sentences. It emits offsets.
 Where neither letter case nor a mark decides (scripts without case, texts in lower case), the next word does: it
-starts a sentence if it did so more often than it followed an emoji in a bounded sample of documents.
+starts a sentence if it does so more often than it goes on after an emoji, by counts over all documents.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bounded_sample, per_value
+from ..runtime import durable, lookup_skewed
+from .columns import per_value
 from .forms import EMOJI_RUN
 
 # Abbreviations that never end a sentence, and those that may.
@@ -49,6 +54,7 @@ _TAIL = regex.compile(rf"\s*{_EMOJI}(?:\s*{_EMOJI})*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _THAI, _LETTER = regex.compile(r"\p{Thai}"), regex.compile(r"\p{L}")
 _WORD = regex.compile(r"[\"'«„“(\[¿¡]*([\p{L}\p{M}]+(?:['’_-][\p{L}\p{M}\p{N}]+)*)")
+_WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’_-][\p{L}\p{M}\p{N}]+)*")
 _ORDINAL = regex.compile(r"([\p{L}]+)\s+\d{1,2}$")
 _LETTERS = regex.compile(r"(?:(?<![\p{L}\p{N}_])|(?<=\.))\p{L}$")
 _DOTTED = regex.compile(r"(?<![\p{L}\p{N}_.])(?:\p{L}\.)+\p{L}$")
@@ -343,48 +349,119 @@ class Splitter:
         return cuts, stack
 
 
-def fit_starters(texts: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Words that start sentences, by the rules that need no model, and those that go on after an abbreviation.
-
-    A word seen after emoji counts as a starter only if it began a sentence there (in upper case) more often than not.
+#: What is counted of a word: sentences it starts where a mark or a blank line ends the one before, sentences it begins
+#: (in upper case) and goes on within (in lower case) after emoji, the same two after an abbreviation that may end a
+#: sentence, and all its occurrences.
+COUNTS = ("starts", "begun", "inside", "anew", "goes_on", "total")
+
+
+def _count(text: str, plain: Splitter, n: dict[str, Counter]) -> None:
+    """Adds the words of ``text`` to ``n``, sentences split by the rules that need no model."""
+    low, before = plain._lower(text), 0
+    n["total"].update(words_of(text, repeats=True))
+    for a, b in plain.spans(text):
+        end = a
+        while end > before and text[end - 1].isspace():
+            end -= 1
+        w = _WORD.match(text, a, b)
+        if w:
+            last = text[end - 1] if end else ""
+            if not last or last in MARKS or "\n\n" in text[end:a]:
+                n["starts"][_plain(w)] += 1
+                if last == "." and abbreviation(text, end - 1, before) == "may":
+                    n["anew"][_plain(w)] += 1
+            elif EMOJI_RUN.match(last):
+                n["begun"][_plain(w)] += 1
+        before = a
+        if low:
+            continue
+        for m in _EVENT.finditer(text, a, b):
+            w = m.end() < b and text[m.end()].isspace() and _WORD.match(text, plain._next(text, m.end(), b))
+            if w and w[1][0].islower():
+                if m.lastgroup == "emoji":
+                    n["inside"][_plain(w)] += 1
+                elif m[0] == "." and abbreviation(text, m.start(), a) == "may":
+                    n["goes_on"][_plain(w)] += 1
+
+
+def words_of(text: str, repeats: bool = False) -> list[str]:
+    """The words of ``text`` that a starting word may be looked up by; those of signs without blanks never are."""
+    words = [w.split("_")[0] for w in _WORDS.findall(text.lower()) if not _CJK.match(w)]
+    return words if repeats else list(dict.fromkeys(words))
+
+
+def _decided(starts, begun, inside, anew, goes_on, total, all_starts, all_total):
+    """(starts a sentence, goes on after an abbreviation): of counts, as numbers or as columns. No count is a bound.
+
+    After emoji in texts with case the word itself shows it; without such cases, it starts a sentence if it is commoner
+    among the first words of sentences than among all words of its script.
     """
-    starts, begun, inside, goes_on = Counter(), Counter(), Counter(), set()
-    plain = Splitter()
+    unseen = begun + inside == 0
+    starter = (starts > 0) & ((begun > inside) | (unseen & (starts / all_starts > total / all_total)))
+    return starter, goes_on > anew
+
+
+def _script_of(word: str) -> str:
+    return _script_name(word[0])
+
+
+@cache
+def _script_name(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def fit_starters(texts: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words that start sentences, and those that go on after an abbreviation, of a few texts; ``fit`` is for tables."""
+    n, plain = {c: Counter() for c in COUNTS}, Splitter()
     for text in texts:
-        low = plain._lower(text)
-        for a, b in plain.spans(text):
-            head = text[:a].rstrip()
-            w = _WORD.match(text, a, b)
-            if w and (not head or head[-1] in MARKS or "\n\n" in text[len(head) : a]):
-                starts[_plain(w)] += 1
-            elif w and EMOJI_RUN.match(head[-1]):
-                begun[_plain(w)] += 1
-            if low:
-                continue
-            for m in _EVENT.finditer(text, a, b):
-                n = m.end() < b and text[m.end()].isspace() and _WORD.match(text, plain._next(text, m.end(), b))
-                if n and n[1][0].islower():
-                    if m.lastgroup == "emoji":
-                        inside[_plain(n)] += 1
-                    elif m[0] == ".":
-                        goes_on.add(_plain(n))
-    words = [w for w, _ in starts.most_common(FIT_WORDS) if begun[w] > inside[w] or not inside[w]]
-    return tuple(words), tuple(sorted(goes_on)[:FIT_WORDS])
+        _count(text, plain, n)
+    every = {w: np.array([n[c][w] for c in COUNTS]) for w in set().union(*n.values())}
+    of_script: dict[str, np.ndarray] = {}
+    for w, k in every.items():
+        of_script[_script_of(w)] = of_script.get(_script_of(w), 0) + k
+    is_a = {w: _decided(*k, max(1, of_script[_script_of(w)][0]), max(1, of_script[_script_of(w)][-1])) for w, k in every.items()}
+    return tuple(sorted(w for w, d in is_a.items() if d[0])), tuple(sorted(w for w, d in is_a.items() if d[1]))
 
 
 def _plain(m: regex.Match) -> str:
     return m[1].lower().split("_")[0]
 
 
-#: Documents that the model of starting words is fitted on at most, and words it keeps.
-FIT_DOCUMENTS = 3000
-FIT_WORDS = 20_000
+#: Distinct words that a task gathers before it sends their counts on; bounds its memory, not the result.
+GATHERED_WORDS = 200_000
+#: Words of the model up to which it travels with the function; a larger one is joined to the words of the texts.
+MODEL_WORDS = 200_000
 
 
-def fit(documents: DataFrame, limit: int = FIT_DOCUMENTS) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """The model of starting words from the ``limit`` documents (doc_id, text) that come first by hash of doc_id."""
-    rows = bounded_sample(documents.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", limit)
-    return fit_starters(r.text for r in rows)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = Splitter()
+    n: dict[str, Counter] = {c: Counter() for c in COUNTS}
+
+    def send():
+        every = list(set().union(*n.values()))
+        columns = [pa.array([n[c][w] for w in every], pa.int64()) for c in COUNTS]
+        names = ["word", "script", *COUNTS]
+        yield pa.record_batch([pa.array(every, pa.string()), pa.array(map(_script_of, every), pa.string()), *columns], names=names)
+        for counter in n.values():
+            counter.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            _count(text, plain, n)
+            if len(n["total"]) >= GATHERED_WORDS:
+                yield from send()
+    yield from send()
+
+
+def fit(documents: DataFrame) -> DataFrame:
+    """(word, total, goes_on): the words that start sentences, counted over all documents (text)."""
+    texts = documents.select("text").filter("text IS NOT NULL")
+    counts = texts.mapInArrow(_counted, "word string, script string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    words = durable(counts.groupBy("word", "script").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    scripts = words.groupBy("script").agg(F.greatest(F.sum("starts"), F.lit(1)).alias("all_starts"), F.greatest(F.sum("total"), F.lit(1)).alias("all_total"))
+    starter, goes_on = _decided(*map(F.col, (*COUNTS, "all_starts", "all_total")))
+    model = words.join(F.broadcast(scripts), "script").select("word", "total", starter.alias("starter"), goes_on.alias("goes_on"))
+    return durable(model.filter("starter").drop("starter"))  # a word that starts nothing is never looked up as going on
 
 
 _splitters: dict[int, Splitter] = {}
@@ -403,9 +480,35 @@ def sentence_spans(text: Column, model: tuple[tuple[str, ...], tuple[str, ...]]
     return per_value("array<struct<a:int,b:int>>", make)(text)
 
 
+def _spans_by_own_words(documents: DataFrame, model: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) with ``spans``, the model joined to the distinct words of each distinct text."""
+
+    def make():
+        return lambda s: words_of(s) if s else []
+
+    def split():
+        def one(s, words, goes_on):
+            return [{"a": a, "b": b} for a, b in Splitter(Starters(words or (), goes_on or ())).spans(s)] if s else []
+
+        return one
+
+    keyed = durable(documents.withColumn("_key", F.sha2("text", 256)))
+    asked = keyed.select("_key", F.explode(per_value("array<string>", make)(F.col("text"))).alias("word")).distinct()
+    own = lookup_skewed(asked, model, ["word"], "total").groupBy("_key").agg(F.collect_list("word").alias("words"), F.collect_list(F.when(F.col("goes_on"), F.col("word"))).alias("on"))
+    return keyed.join(own, "_key", "left").select("doc_id", per_value("array<struct<a:int,b:int>>", split)(F.col("text"), F.col("words"), F.col("on")).alias("spans"))
+
+
 def sentences(documents: DataFrame, model: tuple[tuple[str, ...], tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, start_char, end_char), one row per sentence of every document; blank documents have none."""
+    spans = None
     if model is None:
-        model = fit(documents)
-    at = documents.select("doc_id", F.explode(sentence_spans(F.col("text"), model)).alias("s"))
+        fitted = fit(documents)
+        rows = fitted.limit(MODEL_WORDS + 1).collect()
+        if len(rows) > MODEL_WORDS:
+            spans = _spans_by_own_words(documents, fitted)
+        else:
+            model = tuple(sorted(r.word for r in rows)), tuple(sorted(r.word for r in rows if r.goes_on))
+    if spans is None:
+        spans = documents.select("doc_id", sentence_spans(F.col("text"), model).alias("spans"))
+    at = spans.select("doc_id", F.explode("spans").alias("s"))
     return at.select("doc_id", F.col("s.a").cast("bigint").alias("start_char"), F.col("s.b").cast("bigint").alias("end_char"))

@@ -59,3 +59,35 @@ def test_query_covers_all_but_white_space(spark, small):
 
 def test_empty_table(spark):
     assert S.sentences(spark.createDataFrame([], "doc_id bigint, text string, start_char int")).count() == 0
+
+
+def _split(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in S.sentences(docs).collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start_char : r.end_char])
+    return [sorted(got.get(k, ()), key=texts[k].index) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("model_words", [200_000, 0])
+def test_rare_starting_words_of_a_rare_language_count(spark, monkeypatch, model_words):
+    monkeypatch.setattr(S, "MODEL_WORDS", model_words, raising=False)
+    rare = [f"{a}{b}" for a in "कखगघच" for b in "टठडढण"]
+    hindi = [f"{w} अ आ। {w} इ ई 😀 {w} उ ऊ।" for w in rare]
+    # a word that once starts a sentence, but goes on as a rule, starts none
+    other = ["ठीक अ।", *["अ ठीक आ 😀 ठीक इ।"] * 20]
+    got = _split(spark, [*hindi, *other, *["Plain text here. Next one."] * 13_000])
+    assert got[: len(rare)] == [[f"{w} अ आ।", f"{w} इ ई 😀", f"{w} उ ऊ।"] for w in rare]
+    assert got[len(rare) : len(rare) + len(other)] == [[t] for t in other]
+
+
+def test_model_that_is_joined_gives_the_same(spark, small, monkeypatch):
+    whole = sorted(map(tuple, Q.p10_found(spark, small).collect()))
+    monkeypatch.setattr(S, "MODEL_WORDS", 0)
+    assert sorted(map(tuple, Q.p10_found(spark, small).collect())) == whole
+
+
+def test_going_on_after_an_abbreviation_is_weighed():
+    texts = ["We saw tea etc. and so on. And it was."] * 3 + ["It was tea etc. The end. The rest."] * 3 + ["See etc. the cup."]
+    words, goes_on = S.fit_starters(texts)
+    assert "the" in words and "the" not in goes_on and "and" in goes_on
