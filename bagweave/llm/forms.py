@@ -44,7 +44,8 @@ _SUSPECT = (
     r"\p{Decomposition_Type=Square}\p{Decomposition_Type=Font}\p{Decomposition_Type=Initial}\p{Decomposition_Type=Medial}"
     rf"\p{{Decomposition_Type=Final}}\p{{Decomposition_Type=Isolated}}]]]--[ \t\n\r{JOINERS}]]"
 )
-SUSPECTS = regex.compile(rf"(?:{_SUSPECT}\p{{M}}*)+", regex.V1)
+#: ... and marks that may stand in another than the canonical order.
+SUSPECTS = regex.compile(rf"(?:{_SUSPECT}\p{{M}}*|[\p{{M}}--\p{{ccc=0}}]{{2,}})+", regex.V1)
 _MARK = regex.compile(r"\p{M}")
 
 _RUN = rf"(?:[0-9#*](?=[{JOINERS}]*⃣)|[\p{{Extended_Pictographic}}\p{{RI}}⃣{JOINERS}\U0001F3FB-\U0001F3FF])+"
@@ -53,7 +54,6 @@ CLUSTER = regex.compile(r"\X")
 _STRIP = {0xFE0E: None, 0xFE0F: None}
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
-_LATIN = regex.compile(r"\p{Latin}")
 _OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _SCRIPT_OF = [(s, regex.compile(rf"\p{{{s}}}")) for s in SCRIPTS]
 
@@ -153,7 +153,7 @@ class Forms:
             if new == text:
                 break
             text = new
-        if _OTHER.search(text) and _LATIN.search(text):
+        if _OTHER.search(text) and sum(1 for _, r in _SCRIPT_OF if r.search(text)) > 1:
             text = WORD.sub(lambda m: one_script(m[0]), text)
         return text
 

@@ -54,3 +54,24 @@ def test_columns_keep_nulls_and_send_back_only_changes(spark):
     v = tuple(VOCAB)
     got = {r.id: (r.a, r.b, r.c) for r in rows.select("id", consistent(v, F.col("s")).alias("a"), changed(v, F.col("s")).alias("b"), emoji_of(v, F.col("s")).alias("c")).collect()}
     assert got == {1: (None, None, []), 2: ("", None, []), 3: ("ok", None, []), 4: ("❤️ x", "❤️ x", ["❤️"]), 5: ("😀😀", None, ["😀", "😀"])}
+
+
+@pytest.mark.parametrize(
+    ("given_", "wanted"),
+    [
+        ("в\u03bfда", "вода"), ("κ\u0430λ\u043eς", "καλ\u03bfς"), ("да, в\u03bfда foo", "да, вода foo"), ("вода καλός", "вода καλός"),
+        ("\u0628\u0651\u064e", "\u0628\u064e\u0651"), ("ש\u05b8\u05c1ל", "ש\u05b8\u05c1ל"), ("กู่ ปุ่ม", "กู่ ปุ่ม"),
+    ],
+)
+def test_mixed_words_without_latin_and_order_of_marks(given_, wanted):
+    wanted = unicodedata.normalize("NFC", wanted)
+    assert K.consistent(given_) == wanted
+    assert K.consistent(wanted) == wanted
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aбכب \u0651\u064e\u0323\u0301\u05c1\u05b8\u0327\u093c\u094d\u0e38\u0e48​é"), max_size=10))
+def test_marks_are_spliced_like_the_whole(text):
+    from bagweave.llm.forms import _char
+
+    assert _splice(text) == unicodedata.normalize("NFC", "".join(map(_char, text)))
