@@ -168,14 +168,18 @@ def sample_per_group(rows: DataFrame, group: list[str], key: str, k: int, seed:
 
 #: First words that stay as they are behind a prefix.
 PRONOUNS = ("I", "I'm", "I've", "I'll", "I'd")
+#: Draws per reply that is wanted, before a pool counts as used up.
+ATTEMPTS = 40
 
 
 def generated_pairs(topics: DataFrame, per_message: int, least: int = 1, most: int = 3, prefixes: tuple[str, ...] = ("",), seed: int = 42) -> DataFrame:
     """(topic, instruction, prompt_emoji, input, output): synthetic pairs from (topic, messages, pool).
 
-    Each message gets one prefix, and per draw a reply and a prompt of ``least`` to ``most`` different pool tokens; all
-    choices go by hash, so they do not depend on partitions. Behind a prefix a message starts in lower case, pronouns
-    apart; the whole starts in upper case. Equal (instruction, output) pairs count once. input is empty.
+    Each message gets one prefix and ``per_message`` different replies, each with a prompt, of ``least`` to ``most``
+    different tokens of the sorted pool, or as many as ATTEMPTS draws a reply find. All choices go by hash or by a
+    generator seeded by topic and message, so they do not depend on partitions. Behind a prefix a message starts in
+    lower case, pronouns apart; the whole starts in upper case. Equal (instruction, output) pairs count once. input is
+    empty.
     """
 
     def unit(*parts: Column) -> Column:
@@ -187,15 +191,31 @@ def generated_pairs(topics: DataFrame, per_message: int, least: int = 1, most: i
     body = F.when((prefix == "") | F.split("message", " ")[0].isin(*PRONOUNS), F.col("message")).otherwise(lowered)
     whole = F.trim(F.concat(prefix, body))
     m = m.withColumn("instruction", F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, F.lit(2), F.char_length(whole))))
-    m = m.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_message))))
 
-    def combination(kind: str) -> Column:
-        key = [F.lit(kind), F.col("topic"), F.col("message"), F.col("draw")]
-        mixed = F.array_sort(F.transform("pool", lambda t: F.struct(F.sha1(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key], t)).alias("h"), t.alias("t"))))
-        k = F.floor(unit(F.lit(f"{kind} size"), *key[1:]) * (most - least + 1)).cast("int") + least
-        return F.array_join(F.transform(F.slice(mixed, F.lit(1), k), lambda s: s["t"]), "")
+    def draw(batches):
+        import hashlib
+        import random
 
-    made = m.select("topic", "instruction", combination("prompt").alias("prompt_emoji"), F.lit("").alias("input"), combination("reply").alias("output"))
+        def combinations(pool, count, rng):
+            found = {}
+            for _ in range(count * ATTEMPTS):
+                if len(found) >= count:
+                    break
+                k = min(rng.randint(least, most), len(pool))
+                found["".join(rng.sample(pool, k))] = True
+            return list(found)
+
+        for pdf in batches:
+            out = []
+            for topic, message, instruction, pool in zip(pdf["topic"], pdf["message"], pdf["instruction"], pdf["pool"]):
+                pool = [] if pool is None else sorted(pool)
+                rng = random.Random(int(hashlib.sha1(f"{seed}:{topic}:{message}".encode()).hexdigest()[:12], 16))
+                for reply in combinations(pool, per_message, rng):
+                    out.append((topic, instruction, combinations(pool, 1, rng)[0], "", reply))
+            yield pd.DataFrame(out, columns=["topic", "instruction", "prompt_emoji", "input", "output"])
+
+    kind = dict(topics.dtypes)["topic"]
+    made = m.select("topic", "message", "instruction", "pool").mapInPandas(draw, f"topic {kind}, instruction string, prompt_emoji string, input string, output string")
     first = made.groupBy("instruction", "output").agg(F.min(F.struct("topic", "prompt_emoji", "input")).alias("r"))
     return first.select("r.topic", "instruction", "r.prompt_emoji", "r.input", "output")
 

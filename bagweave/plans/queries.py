@@ -737,11 +737,17 @@ def permutation_variants(spark, d):
     return corpus.permutations(rows, "benchmark_id", 3)
 
 
+# The generator's prefixes; a share of the messages has none.
+PAIR_PREFIXES = ("", "", "", "omg ", "hey ", "honestly ", "ugh ", "wow ", "guys ", "ok ")
+
+
 @query()
 def generated_pairs(spark, d):
     rows = table(spark, d, "reply_benchmark").filter("topic IS NOT NULL")
-    topics = rows.groupBy("topic").agg(F.array_distinct(F.collect_list("instruction")).alias("messages"), F.slice(F.array_distinct(F.flatten(F.collect_list(tk.emoji_tokens(F.col("target_emoji"))))), 1, 40).alias("pool"))
-    return corpus.generated_pairs(topics, 2, 1, 3, ("", "Ok ", "So "))
+    messages = rows.groupBy("topic").agg(F.array_distinct(F.collect_list("instruction")).alias("messages"))
+    tokens = rows.select("topic", F.explode(tk.emoji_tokens(F.col("target_emoji"))).alias("token")).distinct()
+    pools = tokens.groupBy("topic").agg(F.collect_list("token").alias("pool"))
+    return corpus.generated_pairs(messages.join(pools, "topic", "left"), 6, 2, 5, PAIR_PREFIXES)
 
 
 @query()

@@ -222,3 +222,23 @@ def test_streaming_state_of_the_event_table(spark, small):
     got = {r.event_type: r.nll for r in incremental.metric_state_from_files(spark, f"{small}/events.parquet").collect()}
     wanted = {r.event_type: r.m for r in spark.read.parquet(f"{small}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m")).collect()}
     assert got.keys() == wanted.keys() and all(math.isclose(got[k], wanted[k]) for k in got)
+
+
+def test_generated_pairs_draw_on_and_use_the_whole_pool(spark, tmp_path):
+    from bagweave.plans import queries as Q
+
+    topics = spark.createDataFrame([("t", ["One", "Two", "Three"], ["b", "a"]), ("none", ["Four"], None)], "topic string, messages array<string>, pool array<string>")
+    got = {}
+    for r in corpus.generated_pairs(topics, 4, 1, 2).collect():
+        got.setdefault(r.instruction, []).append(r.output)
+    assert {k: sorted(v) for k, v in got.items()} == {"One": ["a", "ab", "b", "ba"], "Two": ["a", "ab", "b", "ba"], "Three": ["a", "ab", "b", "ba"], "Four": [""]}
+
+    emoji = [chr(0x1F400 + k) for k in range(60)]
+    rows = [("t", f"message {k}", emoji[k % 60] + emoji[(7 * k + 1) % 60]) for k in range(200)]
+    bench = spark.createDataFrame(rows, "topic string, instruction string, target_emoji string")
+    pairs = []
+    for n in (1, 7):
+        bench.repartition(n).write.parquet(f"{tmp_path}/{n}/reply_benchmark.parquet")
+        pairs.append(sorted(map(tuple, Q.generated_pairs(spark, f"{tmp_path}/{n}").collect())))
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 200 * 6
+    assert {c for p in pairs[0] for c in p[4]} == set(emoji) and {len(p[4]) for p in pairs[0]} == {2, 3, 4, 5}
