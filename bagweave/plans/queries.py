@@ -633,18 +633,29 @@ def eos_prefix(spark, d):
 _E = "0.001::DOUBLE"
 
 
-@query(
-    f"""WITH t AS (SELECT vec_id, (vec_id + 0.5) / 601::DOUBLE AS t FROM embeddings WHERE vec_id < 500)
+def _noise_sql(t: str) -> str:
+    return f"""WITH t AS ({t})
     SELECT vec_id, round(-ln(1 - (1 - {_E}) * t), 6) AS loglinear, round((1 - {_E}) / (1 - (1 - {_E}) * t), 6) AS loglinear_rate, round(-ln({_E} + (1 - {_E}) * cos(t * pi() / 2)), 6) AS cosine,
     round(pi() / 2 * (1 - {_E}) * sin(t * pi() / 2) / ((1 - {_E}) * cos(t * pi() / 2) + {_E}), 6) AS cosine_rate, round(-ln({_E} + (1 - {_E}) * power(cos(t * pi() / 2), 2)), 6) AS cosine2,
     round(10 * t, 6) AS linear, round(power(0.001::DOUBLE, 1 - t), 6) AS geometric, round((1 - {_E}) * t, 6) AS move_chance FROM t"""
-)
+
+
+@query(_noise_sql("SELECT vec_id, (vec_id + 0.5) / 601::DOUBLE AS t FROM embeddings WHERE vec_id < 500"))
 def noise_table(spark, d):
-    t = (F.col("vec_id") + 0.5) / 601.0
+    return _noise_rows(table(spark, d, "embeddings").filter("vec_id < 500"), (F.col("vec_id") + 0.5) / 601.0)
+
+
+def _noise_rows(rows: DataFrame, t) -> DataFrame:
     cols = [F.round(noise.schedule(k, t)[0], 6).alias(k) for k in ("loglinear", "cosine", "cosine2", "linear", "geometric")]
     rates = [F.round(noise.schedule(k, t)[1], 6).alias(f"{k}_rate") for k in ("loglinear", "cosine")]
     move = F.round(noise.move_chance(noise.schedule("loglinear", t)[0]), 6).alias("move_chance")
-    return table(spark, d, "embeddings").filter("vec_id < 500").select("vec_id", *cols, *rates, move)
+    return rows.select("vec_id", *cols, *rates, move)
+
+
+@query(_noise_sql(f"SELECT vec_id, {sql.unit("'noise:' || vec_id::VARCHAR")} AS t FROM embeddings"))
+def noise_table_all(spark, d):
+    """As noise_table, for every vector: t by hash of its id."""
+    return _noise_rows(table(spark, d, "embeddings"), hash_unit("noise", F.col("vec_id")))
 
 
 @query(

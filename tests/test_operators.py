@@ -242,3 +242,11 @@ def test_generated_pairs_draw_on_and_use_the_whole_pool(spark, tmp_path):
         pairs.append(sorted(map(tuple, Q.generated_pairs(spark, f"{tmp_path}/{n}").collect())))
     assert pairs[0] == pairs[1] and len(pairs[0]) == 200 * 6
     assert {c for p in pairs[0] for c in p[4]} == set(emoji) and {len(p[4]) for p in pairs[0]} == {2, 3, 4, 5}
+
+
+def test_noise_table_of_every_vector(spark, tmp_path):
+    from bagweave.plans import queries as Q
+
+    spark.range(700).select(F.col("id").alias("vec_id")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = Q.noise_table_all(spark, str(tmp_path)).collect()
+    assert {r.vec_id for r in rows} == set(range(700)) and all(0 <= r.linear < 10 and r.loglinear >= 0 for r in rows)
