@@ -171,15 +171,17 @@ def mark_possible_repeats(digests: DataFrame) -> DataFrame:
     return out
 
 
-def hidden_duplicates(records: DataFrame, vocabulary: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def hidden_duplicates(records: DataFrame, vocabulary: tuple[str, ...], blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records (row_id, input, output) that are the same apart from formatting.
 
     Returns (copies: first_id, copy_id), one row for every record but the smallest row_id of each set, and
-    (collapsed: row_id, copies), one row per set, singletons included. Records with a blank field are in no set and
-    in neither result; an empty table gives empty results. Grouping is exact on 128-bit digests.
+    (collapsed: row_id, copies), one row per set, singletons included. Records with a blank field are in no set; they
+    are in neither result, or, with ``blank``, singletons of ``collapsed``. An empty table gives empty results.
+    Grouping is exact on 128-bit digests.
     """
-    d = records.select("row_id", record_digest(vocabulary, F.col("input"), F.col("output")).alias("d"))
-    digests = durable(d.filter("d IS NOT NULL AND row_id IS NOT NULL").select("row_id", "d.hi", "d.lo"))
+    d = records.select("row_id", record_digest(vocabulary, F.col("input"), F.col("output")).alias("d")).filter("row_id IS NOT NULL")
+    d = durable((d if blank else d.filter("d IS NOT NULL")).select("row_id", "d.hi", "d.lo"))
+    digests = d.filter("hi IS NOT NULL")
     marked = mark_possible_repeats(digests)
     maybe = durable(marked.filter("maybe").drop("maybe"))
     groups = maybe.groupBy("hi", "lo").agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies"))
@@ -187,4 +189,6 @@ def hidden_duplicates(records: DataFrame, vocabulary: tuple[str, ...]) -> tuple[
     copies = lookup_skewed(maybe, durable(sets), ["hi", "lo"], "copies").filter("row_id <> first_id")
     single = marked.filter("NOT maybe").select("row_id", F.lit(1).cast("bigint").alias("copies"))
     collapsed = groups.select(F.col("first_id").alias("row_id"), "copies").unionByName(single)
+    if blank:
+        collapsed = collapsed.unionByName(d.filter("hi IS NULL").select("row_id", F.lit(1).cast("bigint").alias("copies")))
     return copies.select("first_id", F.col("row_id").alias("copy_id")), collapsed

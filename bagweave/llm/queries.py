@@ -28,7 +28,7 @@ def p1_found(spark, d):
 
 
 def p1_records(spark, d):
-    return duplicates.hidden_duplicates(_heldout(spark, d, "input", "output"), _vocab(spark, d))[1]
+    return duplicates.hidden_duplicates(_heldout(spark, d, "input", "output"), _vocab(spark, d), blank=True)[1]
 
 
 # Problem 2

@@ -59,3 +59,10 @@ def test_query_against_brute_force(spark, small):
             groups[D.field_key(f(r.input)), D.field_key(f(r.output))].append(r.row_id)
     wanted = sorted((min(g), x) for g in groups.values() for x in g if x != min(g))
     assert sorted(map(tuple, Q.p1_found(spark, small).collect())) == wanted and wanted
+
+
+def test_collapsed_table_keeps_records_with_blank_fields(spark, small):
+    rows = {r.row_id for r in table(spark, small, "heldout_validation").collect()}
+    copies = {r.copy_id for r in Q.p1_found(spark, small).collect()}
+    kept = [(r.row_id, r.copies) for r in Q.p1_records(spark, small).collect()]
+    assert {k for k, _ in kept} == rows - copies and sum(n for _, n in kept) == len(rows)
