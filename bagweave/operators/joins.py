@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import alias
 
 
-def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+def last_per_key(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """One row per key: the last in ``order``. A pre-aggregated max, no window over the key."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(key, *[F.col("_last")[c].alias(c) for c in rest])
+    key = [key] if isinstance(key, str) else key
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*key, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def with_predictions(benchmark: DataFrame, predictions: DataFrame, key: str, order: str) -> DataFrame:
+def with_predictions(benchmark: DataFrame, predictions: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """Every benchmark row with its last prediction; a missing one is an empty string, ``missing`` tells."""
     text = alias.first_present(predictions, alias.PREDICTION)
-    last = last_per_key(predictions.select(key, order, text.alias("prediction")), key, order).drop(order)
+    key = [key] if isinstance(key, str) else key
+    last = last_per_key(predictions.select(*key, order, text.alias("prediction")), key, order).drop(order)
     joined = benchmark.join(last.withColumn("_there", F.lit(True)), key, "left")
     return joined.withColumn("missing", F.col("_there").isNull()).withColumn("prediction", F.coalesce("prediction", F.lit(""))).drop("_there")
 

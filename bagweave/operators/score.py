@@ -115,7 +115,7 @@ def sample_summary(rows: DataFrame, group: list[str], problem: str, order: str,
     problems it applies to. Without any, the mean is NaN, the count 0 and the status 'not_applicable'. ``best_all_*``
     take all samples of a problem, however many.
     """
-    kept = [*group, problem, order, "benchmark_score", "bag_f1", "bag_jaccard", "exact_bag_match", "copy_rate", "invalid_text_ratio"]
+    kept = [*group, problem, order, "benchmark_score", "bag_f1", "bag_jaccard", "exact_bag_match", "copy_rate"]
     per = first_and_best(rows.select(*kept), [*group, problem], order, "benchmark_score")
     exact = rows.groupBy(*group, problem).agg(F.max("exact_bag_match").alias("any_exact"), F.sum("copy_rate").alias("copied"), F.sum("invalid_text_ratio").alias("invalid"))
     joined = per.join(exact, [*group, problem]).join(stability, [*group, problem], "left")

@@ -156,6 +156,30 @@ def left_join_missing(spark, d):
     return score.scored_pairs(rows).select("benchmark_id", "missing", *r6("benchmark_score"))
 
 
+_MODELS = "(SELECT DISTINCT model FROM raw_sample WHERE model IS NOT NULL)"
+
+
+def _of_models(spark, d, rows: DataFrame) -> DataFrame:
+    """``rows`` for every model of the samples."""
+    models = table(spark, d, "raw_sample").filter("model IS NOT NULL").select("model").distinct()
+    return rows.crossJoin(broadcast_if_small(models))
+
+
+@query(
+    f"""WITH last AS (SELECT model, benchmark_id, arg_max(coalesce(generated_emoji, '\x01'), sample_id) AS v FROM raw_sample GROUP BY 1, 2),
+    j AS (SELECT k.model, b.benchmark_id, l.benchmark_id IS NULL AS missing, coalesce(nullif(l.v, '\x01'), '') AS pred, b.target_emoji FROM reply_benchmark b CROSS JOIN {_MODELS} k LEFT JOIN last l ON b.benchmark_id = l.benchmark_id AND k.model = l.model),
+    m AS ({sql.metrics(f"SELECT model, benchmark_id, missing, {sql.emoji('pred')} AS p, {sql.emoji('target_emoji')} AS t FROM j")})
+    SELECT model, benchmark_id, missing, {s6("benchmark_score")} FROM m"""
+)
+def left_join_missing_all(spark, d):
+    """As left_join_missing, for every model."""
+    preds = table(spark, d, "raw_sample").select("model", "benchmark_id", "sample_id", "generated_emoji")
+    asked = _of_models(spark, d, table(spark, d, "reply_benchmark").select("benchmark_id", "target_emoji"))
+    joined = joins.with_predictions(asked, preds, ["model", "benchmark_id"], "sample_id")
+    rows = joined.select("model", "benchmark_id", "missing", tk.emoji_tokens(F.col("prediction")).alias("p"), tk.emoji_tokens(F.col("target_emoji")).alias("t"))
+    return score.scored_pairs(rows).select("model", "benchmark_id", "missing", *r6("benchmark_score"))
+
+
 @query(f"SELECT model, count(*) AS samples, count(DISTINCT benchmark_id) AS problems, round(avg(benchmark_score), 6) AS benchmark_score FROM ({_SCORED}) GROUP BY model")
 def benchmark_summary(spark, d):
     return _scored(spark, d).groupBy("model").agg(F.count("*").alias("samples"), F.countDistinct("benchmark_id").alias("problems"), F.round(F.avg("benchmark_score"), 6).alias("benchmark_score"))
@@ -197,6 +221,18 @@ def resume_anti(spark, d):
     return joins.remaining_tasks(tasks, done, ["benchmark_id", "variant", "sample_idx"])
 
 
+@query(
+    f"""SELECT model, benchmark_id, variant, sample_idx FROM {_TASKS} t CROSS JOIN {_MODELS} k WHERE NOT EXISTS (SELECT 1 FROM raw_sample r WHERE r.model = k.model
+    AND r.benchmark_id = t.benchmark_id AND r.prompt_variant_idx IS NOT DISTINCT FROM t.variant AND r.sample_idx IS NOT DISTINCT FROM t.sample_idx)"""
+)
+def resume_anti_all(spark, d):
+    """As resume_anti, for every model."""
+    ids = _of_models(spark, d, table(spark, d, "reply_benchmark").select("benchmark_id"))
+    tasks = ids.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    done = table(spark, d, "raw_sample").select("model", "benchmark_id", F.col("prompt_variant_idx").alias("variant"), "sample_idx")
+    return joins.remaining_tasks(tasks, done, ["model", "benchmark_id", "variant", "sample_idx"])
+
+
 @query("SELECT sample_id FROM raw_sample WHERE benchmark_id IN (SELECT benchmark_id FROM reply_benchmark)")
 def semi_known(spark, d):
     known = table(spark, d, "reply_benchmark").select("benchmark_id")
@@ -432,11 +468,24 @@ _RICH = sql.metrics(f"SELECT *, CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(l
     CASE WHEN count(v.s) > 0 THEN 'ok' ELSE 'not_applicable' END AS permutation_stability_status FROM f LEFT JOIN v USING (model, benchmark_id) GROUP BY f.model"""
 )
 def sample_summary(spark, d):
-    rows = _scored(spark, d).withColumn("copy_rate", bags.copy_rate(F.col("p"), F.col("pr"))).withColumn("invalid_text_ratio", F.lit(0.0))
-    stable = stability.variant_stability(_samples(spark, d), ["model", "benchmark_id"], "sample_idx", "variant", "sample_id").select("model", "benchmark_id", "stability")
-    out = score.sample_summary(rows, ["model"], "benchmark_id", "sample_id", stable)
     rounded = ("first_benchmark_score", "best_all_benchmark_score", "first_copy_rate", "best_all_copy_rate", "pass_all_exact_bag", "mean_copy_rate", "permutation_stability")
-    return out.select("model", "problems", "samples", *r6(*rounded), "permutation_stability_n", "permutation_stability_status")
+    return _summary(spark, d).select("model", "problems", "samples", *r6(*rounded), "permutation_stability_n", "permutation_stability_status")
+
+
+def _summary(spark, d):
+    invalid = bags.invalid_text_ratio(F.col("raw_prediction"), tk.emoji_tokens(F.col("raw_prediction")))
+    rows = _scored(spark, d).withColumn("copy_rate", bags.copy_rate(F.col("p"), F.col("pr"))).withColumn("invalid_text_ratio", invalid)
+    stable = stability.variant_stability(_samples(spark, d), ["model", "benchmark_id"], "sample_idx", "variant", "sample_id").select("model", "benchmark_id", "stability")
+    return score.sample_summary(rows, ["model"], "benchmark_id", "sample_id", stable)
+
+
+@query(
+    f"""SELECT model, count(*)::BIGINT AS samples, round(avg(greatest(0, length(x) - length(array_to_string(e, '')))::DOUBLE / greatest(1, length(x))), 6) AS invalid_text_ratio
+    FROM (SELECT model, {sql.strip("coalesce(raw_prediction, '')")} AS x, {sql.emoji("coalesce(raw_prediction, '')")} AS e FROM ({_SAMPLES})) GROUP BY model"""
+)
+def sample_summary_text(spark, d):
+    """The part of sample_summary on text that is no emoji."""
+    return _summary(spark, d).select("model", "samples", *r6("invalid_text_ratio"))
 
 
 @query(f"SELECT model, round(sum(benchmark_score * nt) / sum(nt), 6) AS nll, round(sum(benchmark_score * nt) / sum(nt) / ln(2), 6) AS bpd, round(exp(sum(benchmark_score * nt) / sum(nt)), 6) AS ppl FROM ({_SCORED}) GROUP BY model")
