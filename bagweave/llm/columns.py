@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,23 @@ def forms(vocabulary: tuple[str, ...]) -> Forms:
 
 
 def per_value(kind: str, make: Callable[[], Callable]) -> Callable[..., Column]:
-    """An Arrow UDF that maps values one by one; ``make`` builds the function once per batch on the worker."""
+    """An Arrow UDF that maps values one by one; ``make`` builds the function once per batch on the worker.
+
+    A single column is mapped once per distinct value of a batch. The functions are deterministic, but are declared not
+    to be: else Catalyst would push a filter on their result below a repartition and run them twice over every row.
+    """
 
     @F.arrow_udf(kind)
     def udf(*columns: pa.Array) -> pa.Array:
         f = make()
-        return pa.array(map(f, *(c.to_pylist() for c in columns)), type=_arrow_type(kind))
+        if len(columns) > 1:
+            return pa.array(map(f, *(c.to_pylist() for c in columns)), type=_arrow_type(kind))
+        distinct = pc.dictionary_encode(columns[0], null_encoding="encode")
+        if 2 * len(distinct.dictionary) > len(distinct):
+            return pa.array(map(f, columns[0].to_pylist()), type=_arrow_type(kind))
+        return pa.array([f(v) for v in distinct.dictionary.to_pylist()], type=_arrow_type(kind)).take(distinct.indices)
 
-    return udf
+    return udf.asNondeterministic()
 
 
 def _arrow_type(kind: str) -> pa.DataType:
@@ -91,7 +101,7 @@ def emoji_of(vocabulary: tuple[str, ...], *texts: Column, order: bool = False) -
         k = forms(vocabulary)
 
         def one(*values):
-            out = [e for s in values if s for e in k.emoji(k.consistent(s))]
+            out = [e for s in values if s for e in k.emoji_in(s)]
             return out if order else sorted(out)
 
         return one
@@ -106,7 +116,7 @@ def term_counts(vocabulary: tuple[str, ...], *texts: Column) -> Column:
         k = forms(vocabulary)
 
         def one(*values):
-            n = Counter(e for s in values if s for e in k.emoji(k.consistent(s)))
+            n = Counter(e for s in values if s for e in k.emoji_in(s))
             return [{"term": t, "n": c} for t, c in n.items()]
 
         return one

@@ -11,6 +11,7 @@ spliced into the otherwise unchanged text. Emoji runs and words of several scrip
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -24,6 +25,7 @@ LATIN_GREEK = "oο aα iι vν pρ uυ kκ xχ yγ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ M
 CYRILLIC_GREEK = "аα оο рρ кκ хχ АΑ ВΒ ЕΕ НΗ ІΙ КΚ МΜ ОΟ РΡ ТΤ ХΧ"
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
+ALIKE_SCRIPTS = r"\p{Cyrillic}\p{Greek}"
 _PAIRS = {("Latin", "Cyrillic"): LATIN_CYRILLIC, ("Latin", "Greek"): LATIN_GREEK, ("Cyrillic", "Greek"): CYRILLIC_GREEK}
 #: (from script, to script) -> {letter: look-alike}
 ALIKE: dict[tuple[str, str], dict[str, str]] = {}
@@ -112,8 +114,29 @@ def one_script(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(ALIKE[s, to][c] if s and s != to else c for c, s in zip(word, scripts)))
 
 
+#: Characters of the basic plane that no rule looks at: stable under the quick checks, no mark, in no emoji run, and of
+#: no script with look-alikes.
+_STABLE = regex.compile(rf"(?V1)[[\u0020-\uffef]--[\p{{M}}\p{{Cn}}\p{{Cs}}\p{{Co}}{ALIKE_SCRIPTS}{JOINERS}⃣\p{{Extended_Pictographic}}]]")
+
+
+@cache
+def unstable() -> re.Pattern:
+    """Runs of other characters; the class is built from the properties, as spans, for the faster engine."""
+    every = "".join(c for c in _STABLE.findall("".join(chr(k) for k in range(0x20, 0xFFF0) if not 0xD800 <= k < 0xE000)) if not SUSPECTS.match(c))
+    spans, first = [], 0
+    for k in range(1, len(every) + 1):
+        if k == len(every) or ord(every[k]) != ord(every[k - 1]) + 1:
+            spans.append(f"\\u{ord(every[first]):04x}-\\u{ord(every[k - 1]):04x}")
+            first = k
+    return re.compile(f"[^\\t\\n{''.join(spans)}]+")
+
+
 class Forms:
-    """The kernel for one emoji vocabulary; its caches hold one entry per distinct emoji cluster, up to a bound."""
+    """The kernel for one emoji vocabulary; its caches hold one entry per distinct emoji cluster, up to a bound.
+
+    ``quick`` is the first check: a text made only of stable characters and of emoji that the vocabulary spells so is
+    in consistent form. All other texts take the way through the segments.
+    """
 
     #: Distinct clusters kept; beyond, the cache starts anew.
     CACHE = 200_000
@@ -121,6 +144,12 @@ class Forms:
     def __init__(self, vocabulary: list[str]):
         self.known = {v.translate(_STRIP): v for v in vocabulary}
         self.clusters: dict[str, str] = {}
+        self.plain = frozenset(v for v in self.known.values() if self._stands_alone(v))
+
+    def _stands_alone(self, emoji: str) -> bool:
+        """Whether an emoji of the vocabulary is one cluster whatever stable character or emoji is beside it, and its own form."""
+        beside = CLUSTER.findall(f"a{emoji}{emoji}")
+        return bool(emoji) and beside == ["a", emoji, emoji] and self._slow(emoji) == emoji and EMOJI_CHAR.search(emoji) is not None
 
     def _cluster(self, c: str) -> str:
         key = c.translate(_STRIP).strip("‍")
@@ -143,8 +172,18 @@ class Forms:
             out.append(make(c) if known is None else known)
         return "".join(out)
 
+    def quick(self, text: str) -> list[str] | None:
+        """The emoji of a text that the first check finds to be in consistent form, else None."""
+        out: list[str] = []
+        for run in unstable().findall(text):
+            out += CLUSTER.findall(run)
+        return out if self.plain.issuperset(out) else None
+
     def consistent(self, text: str) -> str:
         """``text`` in consistent form. Idempotent; '' stays ''."""
+        return self._slow(text) if self.quick(text) is None else text
+
+    def _slow(self, text: str) -> str:
         if text.isascii():
             if not INVISIBLE.search(text):
                 return text
@@ -161,6 +200,14 @@ class Forms:
         """The emoji of a text that is in consistent form, in order."""
         if text.isascii():
             return []
+        known = self.quick(text)
+        if known is not None:
+            return known
         if "⃣" in text:
             return [c for c in CLUSTER.findall(text) if EMOJI_CHAR.search(c)]
         return [c for m in EMOJI_RUN.finditer(text) for c in CLUSTER.findall(m[0]) if EMOJI_CHAR.search(c)]
+
+    def emoji_in(self, text: str) -> list[str]:
+        """The emoji of any text in its consistent form, in order."""
+        known = self.quick(text)
+        return self.emoji(self._slow(text)) if known is None else known

@@ -132,14 +132,18 @@ def p6_report(spark, d):
 # Problem 7
 
 
-def _pairs(spark, d):
+#: Bounds of a frequent pair: records together, 1/share of all records, times chance.
+PAIR_BOUNDS = {"least": 8, "share": 1000, "lift": 20}
+
+
+def _pairs(spark, d, **bounds):
     records = _heldout(spark, d, "input", "output")
-    return cooccur.item_pairs(records.select(emoji_of(_vocab(spark, d), F.col("input"), F.col("output")).alias("items")))
+    return cooccur.item_pairs(records.select(emoji_of(_vocab(spark, d), F.col("input"), F.col("output")).alias("items")), **bounds)
 
 
 def p7_found(spark, d):
-    pairs, n = _pairs(spark, d)
-    return cooccur.frequent_pairs(pairs, n).select("item_a", "item_b")
+    pairs, n = _pairs(spark, d, **PAIR_BOUNDS)
+    return cooccur.frequent_pairs(pairs, n, **PAIR_BOUNDS).select("item_a", "item_b")
 
 
 def p7_pairs(spark, d):
