@@ -2,12 +2,13 @@
 
 Method: a canonical digest per record; saturating Bloom filters (once seen, repeatedly seen) per partition, merged
 segment by segment; only records whose bits are all repeatedly seen are shuffled and grouped exactly, all others
-are emitted as singletons without a shuffle.
+are emitted as singletons without a shuffle. Where one merged filter would pass the bound of what is sent to every
+task, digests (no texts) are parted once by ranges of their hash, and the task that owns a range builds and probes its
+filter; the number of jobs is the same however many ranges there are.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 from hashlib import blake2b
@@ -20,29 +21,35 @@ from pyspark.sql import functions as F
 
 from ..functions.emoji import EMOJI_CHAR
 from ..runtime import durable, lookup_skewed
+from . import bloom
 from .columns import forms, per_value
-from .forms import CLUSTER
+from .forms import CLUSTER, unstable
 
-#: Bits per record, at least, and the bits a merged filter may have: 32 MB is what is broadcast at most.
-#: Larger tables are worked off in slices of the digest space, each under this bound.
-BITS_PER_RECORD = 16
-MAX_BITS = 1 << 28
-SEGMENT_BITS = 1 << 20
+#: Digests of one range, about, where ranges are needed: what a task holds in memory (24 bytes each).
+RANGE_DIGESTS = 2_000_000
 
 # The labels of labelled fields in a prompt.
 LABELS = ("mood", "time", "place", "tone", "weather", "emoji")
 _LABEL = regex.compile(rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(LABELS)})\s*[:=：＝]")
-_DROP = regex.compile(r"[\s\p{P}\p{S}\p{Z}\p{C}]")
+# Symbols of plain text that are punctuation in use though Unicode files them under symbols.
+PUNCTUATION_SYMBOLS = "`´^~|<>=¨¯¸"
+_DROP = regex.compile(rf"[\s\p{{P}}\p{{Z}}\p{{C}}{regex.escape(PUNCTUATION_SYMBOLS)}]")
 
 
 def bare(text: str) -> str:
-    """A text in consistent form without case, white space and punctuation; emoji stay, each set apart."""
+    """A text in consistent form without case, white space and punctuation; emoji stay, each set apart.
+
+    Signs of currency, arithmetic and the like are no punctuation: C++ isn't C, nor £5 5.
+    """
     if text.isascii():
         return _DROP.sub("", text).casefold()
-    out = []
-    for c in CLUSTER.findall(text):
-        out.append(f"\x02{c}\x02" if EMOJI_CHAR.search(c) else _DROP.sub("", c).casefold())
-    return "".join(out)
+    out, done = [], 0
+    for m in unstable().finditer(text):
+        out.append(_DROP.sub("", text[done : m.start()]).casefold())
+        for c in CLUSTER.findall(m[0]):
+            out.append(f"\x02{c}\x02" if EMOJI_CHAR.search(c) else _DROP.sub("", c).casefold())
+        done = m.end()
+    return "".join([*out, _DROP.sub("", text[done:]).casefold()])
 
 
 def field_key(text: str) -> str:
@@ -73,102 +80,60 @@ def record_digest(vocabulary: tuple[str, ...], *fields: Column) -> Column:
     return per_value("struct<hi:bigint,lo:bigint>", make)(*fields)
 
 
-def _positions(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter positions of each record."""
-    hi, lo = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hi", "lo"))
-    return hi & np.uint64(bits - 1), lo & np.uint64(bits - 1)
-
-
-def _set(bitmap: np.ndarray, positions: np.ndarray) -> None:
-    """Set bits; duplicates allowed."""
-    positions = np.unique(positions)
-    byte, bit = (positions >> np.uint64(3)).astype(np.int64), np.left_shift(1, (positions & np.uint64(7)).astype(np.int64))
-    starts = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]]) if len(byte) else np.array([], int)
-    if len(starts):
-        bitmap[byte[starts]] |= np.bitwise_or.reduceat(bit, starts).astype(np.uint8)
+_MARKED = "row_id bigint, hi bigint, lo bigint, maybe boolean"
 
 
-def _test(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    return (bitmap[(positions >> np.uint64(3)).astype(np.int64)] >> (positions & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-_FILTER_SCHEMA = "segment int, once binary, more binary"
+def _probe(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("maybe", pa.array(bloom.probe(shared.value, *bloom.halves(batch))))
 
 
-def _build(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The two bitmaps of one partition, as compressed segments."""
-    once, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    any_rows = False
-    for batch in batches:
-        any_rows |= batch.num_rows > 0
-        p, q = _positions(batch, bits)
-        _, first, counts = np.unique(np.stack([p, q]), axis=1, return_index=True, return_counts=True)
-        again = first[counts > 1]
-        for x in (p, q):
-            _set(more, x[_test(once, x)])
-            _set(more, x[again])
-        for x in (p, q):
-            _set(once, x)
-    if any_rows:
-        step = min(SEGMENT_BITS, bits) // 8
-        for k in range(0, len(once), step):
-            o, m = once[k : k + step], more[k : k + step]
-            if o.any():
-                row = [[k // step], [zlib.compress(o.tobytes(), 1)], [zlib.compress(m.tobytes(), 1)]]
-                yield pa.record_batch([pa.array(row[0], pa.int32()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary())], names=["segment", "once", "more"])
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold rows that are sorted by segment: seen twice is seen in two partitions, or repeatedly in one."""
-
-    def out(segment, more):
-        blob = [zlib.compress(more.tobytes(), 1)]
-        return pa.record_batch([pa.array([segment], pa.int32()), pa.array([None], pa.binary()), pa.array(blob, pa.binary())], names=["segment", "once", "more"])
-
-    at = once = more = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            o, m = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("once", "more"))
-            if row["segment"] != at:
-                if at is not None:
-                    yield out(at, more)
-                at, once, more = row["segment"], o.copy(), m.copy()
-            else:
-                more |= m | (once & o)
-                once |= o
-    if at is not None:
-        yield out(at, more)
-
-
-def _probe(batches: Iterator[pa.RecordBatch], bits: int, shared) -> Iterator[pa.RecordBatch]:
-    bitmap = np.frombuffer(shared.value, np.uint8)
-    for batch in batches:
-        p, q = _positions(batch, bits)
-        yield batch.append_column("maybe", pa.array(_test(bitmap, p) & _test(bitmap, q)))
+def _probe_own_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Builds the filter of the digests of this task, then probes them; they are numbers, RANGE_DIGESTS of them about."""
+    held = list(batches)
+    own = bloom.Saturating(min(bloom.bits_for(sum(b.num_rows for b in held)), bloom.MAX_BITS))
+    for batch in held:
+        own.add(*bloom.halves(batch))
+    for batch in held:
+        yield batch.append_column("maybe", pa.array(own.repeated(*bloom.halves(batch))))
 
 
 def mark_possible_repeats(digests: DataFrame) -> DataFrame:
     """``digests`` (row_id, hi, lo; none null) with ``maybe``: false only if no other record has the digest."""
     n = digests.count()
-    slices = max(1, -(-n * BITS_PER_RECORD // MAX_BITS))
-    bits = 1 << max(10, (max(1, n * BITS_PER_RECORD // slices) - 1).bit_length())
-    bits = min(bits, MAX_BITS)
-    out = None
-    for k in range(slices):
-        part = digests if slices == 1 else digests.filter(F.pmod("hi", F.lit(slices)) == k)
-        built = part.select("hi", "lo").mapInArrow(partial(_build, bits=bits), _FILTER_SCHEMA)
-        merged = built.repartition(F.col("segment")).sortWithinPartitions("segment").mapInArrow(_merge, _FILTER_SCHEMA)
-        bitmap = np.zeros(bits // 8, np.uint8)
-        step = min(SEGMENT_BITS, bits) // 8
-        for row in merged.select("segment", "more").collect():  # bits / 8 bytes at most
-            bitmap[row[0] * step : (row[0] + 1) * step] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
-        shared = digests.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-        marked = part.mapInArrow(partial(_probe, bits=bits, shared=shared), "row_id bigint, hi bigint, lo bigint, maybe boolean")
-        if slices > 1:
-            marked = durable(marked)
-            shared.unpersist()
-        out = marked if out is None else out.unionByName(marked)
-    return out
+    digests = digests.select("row_id", "hi", "lo")
+    if bloom.bits_for(n) > bloom.MAX_BITS:
+        return _by_ranges(digests, -(-n // RANGE_DIGESTS))
+    shared = bloom.merged(digests, bloom.bits_for(n), repeated=True)
+    return digests.mapInArrow(partial(_probe, shared=shared), _MARKED)
+
+
+def _own_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks digests that repeat within a batch, and adds one row without row_id for each of them, unmarked."""
+    kept = pa.schema([("row_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("maybe", pa.bool_())])
+    for batch in batches:
+        hi, lo = bloom.halves(batch)
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        first = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])][: len(order)]
+        n = np.diff(np.r_[np.flatnonzero(first), len(order)])
+        single = np.empty(len(order), bool)
+        single[order] = np.repeat(n, n) == 1
+        yield pa.record_batch([*batch.columns, pa.array(np.ones(len(order), bool), mask=single)], schema=kept)
+        for_all = batch.take(pa.array(order[first][n > 1]))
+        none = pa.nulls(for_all.num_rows)
+        yield pa.record_batch([none.cast(pa.int64()), *for_all.columns[1:], none.cast(pa.bool_())], schema=kept)
+
+
+def _by_ranges(digests: DataFrame, ranges: int) -> DataFrame:
+    """As mark_possible_repeats, each range of digests marked by the task that owns it.
+
+    A range is a hash of the digest, so equal digests meet. Those that repeat within a batch are marked where they lie,
+    and one row stands for all of them in their range: a digest that a third of all rows share fills no task.
+    """
+    told = digests.mapInArrow(_own_repeats, _MARKED)
+    owned = told.filter("maybe IS NULL").drop("maybe").repartition(ranges, F.xxhash64("hi", "lo"))
+    return owned.mapInArrow(_probe_own_range, _MARKED).filter("row_id IS NOT NULL").unionByName(told.filter("maybe"))
 
 
 def hidden_duplicates(records: DataFrame, vocabulary: tuple[str, ...], blank: bool = False) -> tuple[DataFrame, DataFrame]:

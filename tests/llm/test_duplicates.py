@@ -33,12 +33,32 @@ def test_empty_table_and_repeated_rows(spark):
     assert copies == [(0, k) for k in range(1, 50)] and collapsed == [(0, 50)]
 
 
-def test_slices_beyond_the_filter_bound(spark, monkeypatch):
-    rows = [(k, f"text {k % 700}", "reply", None) for k in range(1000)]
-    whole = run(spark, rows)
-    monkeypatch.setattr(D, "MAX_BITS", 1 << 12)
-    assert run(spark, rows) == whole
-    assert len(whole[0]) == 300
+def test_ranges_beyond_the_filter_bound(spark, monkeypatch):
+    """64 ranges give what one filter gives, by as many jobs, and no hot digest fills a task."""
+    rows = [(k, f"text {k % 700 if k % 3 else 0}", "reply", None) for k in range(1000)]
+
+    def jobs(group):
+        spark.sparkContext.setJobGroup(group, group)
+        out = run(spark, rows)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    monkeypatch.setattr(D.bloom, "MAX_BITS", 1 << 12)
+    monkeypatch.setattr(D, "RANGE_DIGESTS", 500)
+    two, few = jobs("two")
+    monkeypatch.setattr(D, "RANGE_DIGESTS", 16)
+    many, more = jobs("many")
+    monkeypatch.undo()
+    whole, _ = jobs("whole")
+    assert two == many == whole and few == more
+    seen = {}
+    for k, text, _, _ in rows:
+        seen.setdefault(text, k)
+    assert whole[0] == sorted((seen[t], k) for k, t, _, _ in rows if seen[t] != k)
+
+
+def test_symbols_are_no_punctuation():
+    assert D.bare("C++") != D.bare("C") and D.bare("£5") != D.bare("5")
+    assert D.bare("Wow… 😀 «OK»!") == D.bare("wow 😀ok") and D.bare("❤️a") == D.bare("❤️ A.")
 
 
 def test_filter_never_misses_a_repeat(spark):
