@@ -32,12 +32,23 @@ def test_pairs_against_brute_force(spark):
     wanted = {(e[0], t[0]) for e in left for t in right if near(e[1:], t[1:], 6)}
     got = [tuple(r) for r in o.rows().collect()]
     assert set(got) == wanted and len(got) == len(wanted)
-    share = {r.row_id: r.containment for r in o.hit_rows().collect()}
+    told = {r.row_id: r for r in o.links().collect()}
+    same = lambda a, b: all(Counter(x) == Counter(y) for x, y in zip(a, b))
     for e in left:
-        best = max((sum((Counter(e[1]) & Counter(t[1])).values()) + sum((Counter(e[2]) & Counter(t[2])).values()) for t in right if (e[0], t[0]) in wanted), default=None)
-        assert (e[0] in share) == (best is not None)
-        if best is not None:
-            assert abs(share[e[0]] - best / (len(e[1]) + len(e[2]))) < 1e-9
+        met = [t for t in right if (e[0], t[0]) in wanted]
+        best = max((sum((Counter(e[1]) & Counter(t[1])).values()) + sum((Counter(e[2]) & Counter(t[2])).values()) for t in met), default=None)
+        r = told[e[0]]
+        assert r.links == len(met) and r.class_id == min(x[0] for x in left if same(x[1:], e[1:]))
+        assert (r.containment is None) if best is None else abs(r.containment - best / (len(e[1]) + len(e[2]))) < 1e-9
+
+
+def test_without_a_filter_the_result_is_the_same(spark, monkeypatch):
+    bag = lambda k, n: sorted("abcdef"[(k * j + k) % 6] for j in range(n))
+    rows = spark.createDataFrame([(k, bag(k, 4 + k % 4), bag(k + 1, 2)) for k in range(120)], SCHEMA)
+    pairs = lambda: sorted(map(tuple, overlap.Overlap(rows.filter("row_id < 40"), rows.filter("row_id >= 40"), 6).rows().collect()))
+    whole = pairs()
+    monkeypatch.setattr(overlap.bloom, "MAX_BITS", 1 << 4)
+    assert pairs() == whole and whole
 
 
 def test_hot_classes_and_empty_tables(spark, monkeypatch):
