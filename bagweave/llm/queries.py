@@ -63,7 +63,12 @@ def p3_found(spark, d):
 
 
 def p3_splits(spark, d):
-    return splits.split_of_group(durable(_groups(spark, d)))
+    return splits.split_of_group(_groups(spark, d))
+
+
+def p3_shares(spark, d):
+    """The shares of the rows that p3_splits reaches."""
+    return splits.split_shares(p3_splits(spark, d))
 
 
 # Problem 4
@@ -193,7 +198,7 @@ def p10_found(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name; pN_found comes first of each problem."""
     named = (
-        p1_found, p1_records, p2_found, p2_terms, p3_found, p3_splits, p4_found, p4_values, p5_found, p5_counts,
+        p1_found, p1_records, p2_found, p2_terms, p3_found, p3_splits, p3_shares, p4_found, p4_values, p5_found, p5_counts,
         p6_found, p6_links, p6_report, p7_found, p7_pairs, p8_ids, p9_mix, p9_shares, p10_found,
     )
     return {f.__name__: f for f in named}

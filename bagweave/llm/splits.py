@@ -1,7 +1,7 @@
 """Splits that keep related records together (problem 3).
 
 Method: connected components by alternating large-star and small-star over the entities that records share, then
-the component's hash picks a proportional split range. Edges run between the smallest row_ids of two entities, so
+the component's hash picks a proportional split range, whatever else there is. Edges run between the smallest row_ids of two entities, so
 an entity with a third of all rows is a single node, and a component's smallest node is its smallest row_id.
 """
 
@@ -70,12 +70,17 @@ def related_groups(records: DataFrame, entities: list[str]) -> DataFrame:
     return lookup_skewed(tagged.select("row_id", "node"), durable(per_node), ["node"], "n").select("row_id", "group_id", "group_rows")
 
 
-def split_of_group(groups: DataFrame, splits=SPLITS, seed: int = 42) -> DataFrame:
-    """(row_id, group_id, split): whole groups into splits near the given shares of the rows.
+def split_of_group(groups: DataFrame, splits=SPLITS, seed: int = 42, largest_first: bool = False) -> DataFrame:
+    """(row_id, group_id, split): whole groups into splits by the hash of the group_id in ranges of the given shares.
 
-    A group of 1/HOT_SHARE of the rows or more (so at most HOT_SHARE of them) goes to the split that is furthest
-    below its share; hash ranges in proportion to what each split then lacks take all other groups.
+    A group's split depends on its group_id and ``seed`` alone, so it stays when other data arrives; ``split_shares``
+    tells what shares the rows reach. With ``largest_first`` the groups of 1/HOT_SHARE of the rows or more (so at most
+    HOT_SHARE of them) first go to the split that is furthest below its share, and hash ranges in proportion to what
+    each split then lacks take all others: shares come nearer, but a group's split depends on all data.
     """
+    u = hash_unit(str(seed), F.col("group_id"))
+    if not largest_first:
+        return groups.select("row_id", "group_id", _in_range(u, dict(splits)).alias("split"))
     total = groups.count()
     big = groups.filter(F.col("group_rows") * HOT_SHARE >= total).select("group_id", "group_rows").distinct()
     lacks = {name: share * total for name, share in splits}
@@ -84,15 +89,26 @@ def split_of_group(groups: DataFrame, splits=SPLITS, seed: int = 42) -> DataFram
         name = max(lacks, key=lambda s: lacks[s])
         placed[row.group_id] = name
         lacks[name] -= row.group_rows
-    rest = {name: max(0.0, n) for name, n in lacks.items()}
-    whole = sum(rest.values()) or 1.0
-    u, upto, split = hash_unit(str(seed), F.col("group_id")), 0.0, F.lit(splits[0][0])
-    pick: Column | None = None
-    for name, n in rest.items():
-        upto += n / whole
-        pick = F.when(u < upto, name) if pick is None else pick.when(u < upto, name)
-    split = F.coalesce(pick, split)
+    split = _in_range(u, {name: max(0.0, n) for name, n in lacks.items()})
     if placed:
         known = F.create_map(*[F.lit(x) for kv in placed.items() for x in kv])
         split = F.coalesce(F.try_element_at(known, F.col("group_id")), split)
     return groups.select("row_id", "group_id", split.alias("split"))
+
+
+def _in_range(u: Column, parts: dict[str, float]) -> Column:
+    """The part in whose range ``u`` falls; ranges follow each other in proportion to ``parts``."""
+    whole, upto, pick = sum(parts.values()) or 1.0, 0.0, None
+    for name, n in parts.items():
+        upto += n / whole
+        pick = F.when(u < upto, name) if pick is None else pick.when(u < upto, name)
+    return F.coalesce(pick, F.lit(next(iter(parts))))
+
+
+def split_shares(placed: DataFrame, splits=SPLITS) -> DataFrame:
+    """(split, target_share, rows, groups, actual_share) of placed rows (row_id, group_id, split); 0 for a split without any."""
+    per = placed.groupBy("split", "group_id").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"))
+    listed = placed.sparkSession.createDataFrame(list(splits), "split string, target_share double")
+    told = listed.join(F.broadcast(per), "split", "left").crossJoin(F.broadcast(per.agg(F.sum("rows").alias("all"))))  # a row per split, one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return told.select("split", "target_share", zero("rows"), zero("groups"), F.coalesce(F.try_divide("rows", "all"), F.lit(0.0)).alias("actual_share"))

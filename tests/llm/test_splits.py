@@ -54,7 +54,7 @@ def test_groups_over_two_entities_with_a_hot_one(spark):
 def test_splits_keep_groups_and_shares(spark):
     rows = [(k, "hot" if k % 3 == 0 else f"b{k // 5}", None) for k in range(6000)]
     groups = splits.related_groups(spark.createDataFrame(rows, "row_id bigint, bag string, topic string"), ["bag", "topic"])
-    got = splits.split_of_group(groups).collect()
+    got = splits.split_of_group(groups, largest_first=True).collect()
     per_group = defaultdict(set)
     for r in got:
         per_group[r.group_id].add(r.split)
@@ -63,6 +63,23 @@ def test_splits_keep_groups_and_shares(spark):
     assert abs(n["train"] / 6000 - 0.8) < 0.03 and abs(n["test"] / 6000 - 0.1) < 0.03
 
 
+def test_split_of_a_group_stays_when_other_data_arrives(spark):
+    schema = "row_id bigint, bag string, topic string"
+    some = [(k, f"b{k // 5}", None) for k in range(4000)]
+    more = some + [(k, "hot" if k % 2 else f"b{k // 5}", None) for k in range(4000, 9000)]
+    before, after = ({r.row_id: r.split for r in splits.split_of_group(splits.related_groups(spark.createDataFrame(rows, schema), ["bag", "topic"])).collect()} for rows in (some, more))
+    assert len(after) == 9000 and all(after[r] == s for r, s in before.items())
+    n = Counter(before.values())
+    assert abs(n["train"] / 4000 - 0.8) < 0.04 and abs(n["test"] / 4000 - 0.1) < 0.04
+
+
+def test_reported_shares_and_empty_splits(spark):
+    placed = spark.createDataFrame([(1, 1, "train"), (2, 1, "train"), (3, 3, "train"), (4, 4, "test")], "row_id bigint, group_id bigint, split string")
+    got = {r.split: (r.target_share, r.rows, r.groups, r.actual_share) for r in splits.split_shares(placed).collect()}
+    assert got == {"train": (0.8, 3, 2, 0.75), "validation": (0.1, 0, 0, 0.0), "test": (0.1, 1, 1, 0.25)}
+    assert [r.rows for r in splits.split_shares(placed.limit(0)).collect()] == [0, 0, 0]
+
+
 def test_query_against_brute_force(spark, small):
     k = forms(load_vocabulary(table(spark, small, "emoji_vocab")))
     rows = []
