@@ -9,11 +9,18 @@ from bagweave.runtime import table
 
 def test_splitting_tree_keeps_quotas():
     counts = np.array([1000, 17, 3, 0, 250])
-    out = mixing.split_quotas(counts, 37, 5)
+    out = np.array([have for _, _, have in mixing.split_quotas(counts, 37, 5)])
     assert (out.sum(axis=0) == counts).all() and out.min() >= 0
     assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 1
 
 
+def test_subtrees_parted_elsewhere_give_the_same_shards():
+    counts = np.array([1000, 17, 3, 0, 250])
+    whole = mixing.split_quotas(counts, 37, 5)
+    parts = [n for a, b, have in mixing.split_quotas(counts, 37, 5, width=9) for n in mixing.split_quotas(have, b - a, 5, a)]
+    assert [(a, b, h.tolist()) for a, b, h in whole] == [(a, b, h.tolist()) for a, b, h in parts]
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 DOCS = "doc_id bigint, text string, source string"
 
@@ -42,6 +49,21 @@ def test_shares_caps_and_copies(spark):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in by_shard.values())
 
 
+def test_shards_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 20)
+    monkeypatch.setattr(mixing, "SUBTREES", 8)
+    docs = [(k, f"number {k} of words {k * k}", "ab"[k % 2]) for k in range(3000)]
+    m = mixing.Mixture(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], TARGETS))
+    rows = m.rows.collect()
+    per = Counter(r.shard for r in rows)
+    shards = -(-sum(m.blocks.values()) // mixing.SHARD_BLOCKS)
+    assert shards > 60 and set(per) == set(range(shards)) and max(per.values()) < 2 * len(rows) / shards
+    tokens = Counter()
+    for r in rows:
+        tokens[r.source] += r.tokens
+    assert all(abs(tokens[s] - m.quota[s]) <= 20 for s in "ab") and len({(r.doc_id, r.repeat) for r in rows}) == len(rows)
+
+
 def test_missing_sources_and_empty_tables(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
     m = mixing.Mixture(spark.createDataFrame([(1, "only text of a", "a")], DOCS), targets)
