@@ -11,7 +11,9 @@ import base64
 from functools import cache
 
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from .columns import per_value
 
@@ -22,8 +24,9 @@ VOCABULARY = "byte_bpe_50k"
 # The public pre-token pattern of this vocabulary.
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: Distinct pre-tokens and fragments kept per worker; beyond, the cache starts anew.
-CACHE = 300_000
+#: Distinct pre-tokens and fragments kept per worker, and the characters or bytes of the longest kept; beyond the
+#: number, the cache starts anew.
+CACHE, CACHED_LENGTH = 200_000, 64
 
 
 class ByteBpe:
@@ -91,13 +94,16 @@ class ByteBpe:
         for part in self.fragments(word.encode("utf-8", "replace")):
             known = self.parts.get(part)
             if known is None:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
-                known = self.parts[part] = self.merge(part)
+                known = self.merge(part)
+                if len(part) <= CACHED_LENGTH:
+                    if len(self.parts) >= CACHE:
+                        self.parts.clear()
+                    self.parts[part] = known
             ids += known
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[word] = ids
+        if len(word) <= CACHED_LENGTH:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -116,12 +122,16 @@ def tokenizer(path: str) -> ByteBpe:
 
 def token_ids(text: Column, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> Column:
     """The ids of ``text`` without special tokens, whose strings are ordinary text; null and '' have no ids: []."""
-    path = f"{folder}/{vocabulary}.tiktoken"
-    return per_value("array<int>", lambda: lambda s: tokenizer(path).encode(s) if s else [])(text)
+    name = f"{vocabulary}.tiktoken"
+    SparkSession.active().sparkContext.addFile(f"{folder}/{name}")  # the driver's copy; workers need none of their own
+
+    def make():
+        encode = tokenizer(SparkFiles.get(name)).encode
+        return lambda s: encode(s) if s else []
+
+    return per_value("array<int>", make)(text)
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> Column:
     """The number of ids of ``text``; 0 for null and ''."""
-    from pyspark.sql import functions as F
-
     return F.size(token_ids(text, vocabulary, folder))
