@@ -19,19 +19,52 @@ import regex
 
 from ..functions.emoji import EMOJI_CHAR
 
-# Letters that look alike across scripts (Latin : Cyrillic, Latin : Greek).
+# Letters that look alike across scripts, as in the public confusables data; each pair has a letter of the
+# first script and its look-alike of the second.
 LATIN_CYRILLIC = "aа cс eе oо pр xх yу iі jј sѕ dԁ hһ qԛ wԝ kк lӏ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ QԚ WԜ ëё ïї ËЁ ÏЇ"
 LATIN_GREEK = "oο aα iι vν pρ uυ kκ xχ yγ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ óό áά íί"
+LATIN_ARMENIAN = "hհ nո oօ uս gց qզ jյ SՏ OՕ UՍ LԼ"
+LATIN_CHEROKEE = "DᎠ RᎡ TᎢ iᎥ YᎩ AᎪ JᎫ EᎬ WᎳ MᎷ HᎻ GᏀ hᏂ ZᏃ bᏏ VᏙ SᏚ LᏞ CᏟ PᏢ KᏦ dᏧ BᏴ"
+LATIN_LISU = "BꓐPꓑDꓓTꓔGꓖKꓗJꓙCꓚZꓜFꓝMꓟNꓠLꓡSꓢRꓣVꓦHꓧWꓪXꓫYꓬAꓮEꓰIꓲOꓳUꓴ"
 CYRILLIC_GREEK = "аα оο рρ кκ хχ АΑ ВΒ ЕΕ НΗ ІΙ КΚ МΜ ОΟ РΡ ТΤ ХΧ"
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
-ALIKE_SCRIPTS = r"\p{Cyrillic}\p{Greek}"
-_PAIRS = {("Latin", "Cyrillic"): LATIN_CYRILLIC, ("Latin", "Greek"): LATIN_GREEK, ("Cyrillic", "Greek"): CYRILLIC_GREEK}
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu")
+ALIKE_SCRIPTS = "".join(rf"\p{{{s}}}" for s in SCRIPTS[1:])
+_PAIRS = {
+    ("Latin", "Cyrillic"): LATIN_CYRILLIC, ("Latin", "Greek"): LATIN_GREEK, ("Latin", "Armenian"): LATIN_ARMENIAN,
+    ("Latin", "Cherokee"): LATIN_CHEROKEE, ("Latin", "Lisu"): LATIN_LISU, ("Cyrillic", "Greek"): CYRILLIC_GREEK,
+}
 #: (from script, to script) -> {letter: look-alike}
 ALIKE: dict[tuple[str, str], dict[str, str]] = {}
 for (_a, _b), _text in _PAIRS.items():
-    ALIKE[_a, _b] = {p[0]: p[1] for p in _text.split()}
-    ALIKE[_b, _a] = {p[1]: p[0] for p in _text.split()}
+    _letters = _text.replace(" ", "")
+    for _x, _y in zip(_letters[::2], _letters[1::2]):
+        ALIKE.setdefault((_a, _b), {})[_x] = _y
+        ALIKE.setdefault((_b, _a), {})[_y] = _x
+
+
+def read_confusables(lines) -> dict[tuple[str, str], dict[str, str]]:
+    """Look-alikes as in ALIKE from lines of the public confusables file ('0430 ; 0061 ; MA # ...').
+
+    Letters of one character that share a prototype look alike; those of the SCRIPTS above are kept. ``ALIKE`` can be
+    updated with the result where the file is at hand.
+    """
+    by_prototype: dict[str, list[str]] = {}
+    for line in lines:
+        parts = line.split("#")[0].lstrip("\ufeff").split(";")
+        if len(parts) > 1:
+            source, target = ("".join(chr(int(x, 16)) for x in p.split()) for p in parts[:2])
+            if len(source) == len(target) == 1:
+                by_prototype.setdefault(target, [target]).append(source)
+    out: dict[tuple[str, str], dict[str, str]] = {}
+    for alike in by_prototype.values():
+        letters = [(c, _script(c)) for c in alike if _script(c) and c.isalpha()]
+        for c, s in letters:
+            for d, t in letters:
+                if s != t:
+                    out.setdefault((s, t), {}).setdefault(c, d)
+    return out
+
 
 #: Invisible characters that only an emoji may hold; they are judged with the emoji run around them.
 JOINERS = "‍︎️\U000E0020-\U000E007F"
@@ -56,7 +89,7 @@ CLUSTER = regex.compile(r"\X")
 _STRIP = {0xFE0E: None, 0xFE0F: None}
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
-_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_OTHER = regex.compile(f"[{ALIKE_SCRIPTS}]")
 _SCRIPT_OF = [(s, regex.compile(rf"\p{{{s}}}")) for s in SCRIPTS]
 
 
@@ -105,7 +138,7 @@ def one_script(word: str) -> str:
         return word
     best = None
     for k, to in enumerate(there):
-        bad = sum(1 for c, s in zip(word, scripts) if s and s != to and c not in ALIKE[s, to])
+        bad = sum(1 for c, s in zip(word, scripts) if s and s != to and c not in ALIKE.get((s, to), ()))
         if not bad and (best is None or scripts.count(to) > best[0]):
             best = (scripts.count(to), to)
     if best is None:
@@ -205,7 +238,7 @@ class Forms:
             return known
         if "⃣" in text:
             return [c for c in CLUSTER.findall(text) if EMOJI_CHAR.search(c)]
-        return [c for m in EMOJI_RUN.finditer(text) for c in CLUSTER.findall(m[0]) if EMOJI_CHAR.search(c)]
+        return [c for run in unstable().findall(text) for c in CLUSTER.findall(run) if EMOJI_CHAR.search(c)]
 
     def emoji_in(self, text: str) -> list[str]:
         """The emoji of any text in its consistent form, in order."""

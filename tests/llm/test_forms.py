@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bagweave.llm.columns import changed, consistent, emoji_of
-from bagweave.llm.forms import Forms, _splice, one_script
+from bagweave.functions.emoji import EMOJI_CHAR
+from bagweave.llm.forms import CLUSTER, Forms, _splice, one_script, read_confusables
 from pyspark.sql import functions as F
 
 VOCAB = ["❤️", "😀", "👩‍🔬", "🏃‍♀️", "9️⃣", "🇩🇪", "👍🏽", "🏔️"]
@@ -75,3 +76,28 @@ def test_marks_are_spliced_like_the_whole(text):
     from bagweave.llm.forms import _char
 
     assert _splice(text) == unicodedata.normalize("NFC", "".join(map(_char, text)))
+
+
+def test_look_alikes_of_further_scripts():
+    f = Forms([])
+    assert f.consistent("Ꭺpple ꓮpple հello Ꮯat") == "Apple Apple hello Cat"
+    for whole in ("ᎠᎵᏍᏓᏴᏗ", "ꓡꓲꓢꓴ", "Հայերեն", "\u043a\u043e\u0442"):
+        assert f.consistent(whole) == whole  # words of one script stay
+    for text in ("\u043a\u03bf\u0442", "\u043a\u03bf\u0442 and Latin"):  # a Greek omicron, with and without Latin around
+        assert f.consistent(text).split()[0] == "\u043a\u043e\u0442"
+
+
+@given(st.lists(st.sampled_from([*VOCAB, "❤", "👍", "👍🏿", "a", "é", "e", "\u0301", "ｂ", " ", "\u00a0", "\u200d", "\ufe0f", "9", "\u20e3", "🇫", "🇷", "か", "\u3099", "б", "α", "!", "\n", "\u200b", "©"]), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_first_check_changes_nothing(parts):
+    text = "".join(parts)
+    slow = K._slow(text)
+    assert K.consistent(text) == slow
+    every = [c for c in CLUSTER.findall(slow) if EMOJI_CHAR.search(c)]
+    assert K.emoji_in(text) == K.emoji(slow) == every
+
+
+def test_confusables_file():
+    lines = ["\ufeff# comment", "0430 ;\t0061 ;\tMA\t# a", "0251 ;\t0061 ;\tMA", "03B1 ; 0061 ; MA", "FB00 ; 0066 0066 ; MA", "0031 ; 006C ; MA", ""]
+    got = read_confusables(lines)
+    assert got["Cyrillic", "Latin"] == {"а": "a"} and got["Greek", "Cyrillic"] == {"α": "а"} and ("Latin", "Latin") not in got
