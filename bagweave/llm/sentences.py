@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
-Method: a pushdown automaton reads each paragraph's events (sentence marks, quotation marks, brackets, emoji runs)
-and keeps a stack of open quotations and brackets; list paragraphs are their own level, one sentence per item. An
+Method: a pushdown automaton reads each paragraph's events (sentence marks, quotation marks, brackets, emoji runs, line
+breaks that were made on purpose) and keeps a stack of open quotations and brackets, and one of list levels by their
+indent: an item is one sentence, with the lines that go on in it, until an item or a line of an outer level. An
 abbreviation trie is walked backwards from a full stop, and marks of every script end sentences. It emits offsets.
 Where neither letter case nor a mark decides (scripts without case, texts in lower case), the next word does: it
 starts a sentence if it does so more often than it goes on after an emoji, by counts over all documents.
@@ -41,9 +42,9 @@ MARKS = f".!?…{STRONG}‼⁉"
 OPEN, CLOSE = "«„“「『（([{【《〈‹", "»”」』）)]}】》〉›"
 PAIR = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "【": "】", "《": "》", "〈": "〉", "‹": "›", '"': '"', "¿": "?"}
 
-_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 _PARAGRAPH = regex.compile(rf"{_BREAK}(?:[^\S\n\r]*{_BREAK})+")
-_LINE = regex.compile(rf"[^\n\r\x0b\x0c\x85  ]+")
+_LINE = regex.compile(rf"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _ITEM = regex.compile(r"\s*(?:[-*•·–—‣◦]|\(?\d{1,3}[.)]|\p{L}[)])\s+\S")
 _EMOJI = EMOJI_RUN.pattern
 _EVENT = regex.compile(rf"(?P<emoji>{_EMOJI}(?:\s*{_EMOJI})*)|(?P<mark>[{regex.escape(MARKS)}]+)|(?P<open>[{regex.escape(OPEN)}¿])|(?P<close>[{regex.escape(CLOSE)}])|(?P<dq>\")")
@@ -126,6 +127,7 @@ class Splitter:
 
     def __init__(self, starters: Starters | None = None):
         self.starters = starters or Starters()
+        self._told: tuple[str | None, bool] = None, False
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Code point offsets (start, end) of the sentences of ``text``; none for empty or blank text."""
@@ -144,29 +146,73 @@ class Splitter:
         lines = [m.span() for m in _LINE.finditer(text, a, b) if not m[0].isspace()]
         if not lines:
             return
-        if _ITEM.match(text, lines[0][0], b):
-            start = lines[0][0]
-            for x, _ in lines[1:]:
-                if _ITEM.match(text, x, b):
-                    self._emit(text, start, x, out)
-                    start = x
-            self._emit(text, start, b, out)
-            return
+        for start, end, item, breaks in self._units(text, lines, b):
+            if item:
+                self._emit(text, start, end, out)
+            else:
+                self._text(text, start, end, low, breaks, out)
+
+    def _text(self, text: str, a: int, b: int, low: bool, breaks: list[int], out: list) -> None:
         seen = text[a:b]
         thai = len(_THAI.findall(seen))
-        if thai and 2 * thai > len(_LETTER.findall(seen)):
-            cuts, stack = self._thai(text, a, b)
-        else:
-            cuts, stack = self._cuts(text, a, b, low, frozenset())
+        read = self._thai if thai and 2 * thai > len(_LETTER.findall(seen)) else self._cuts
+        cuts, stack = read(text, a, b, low, frozenset(), breaks)
         if stack:  # openers that never close bind nothing
-            again = frozenset(p for _, p in stack)
-            cuts, _ = self._thai(text, a, b, again) if thai and 2 * thai > len(_LETTER.findall(seen)) else self._cuts(text, a, b, low, again)
+            cuts, _ = read(text, a, b, low, frozenset(p for _, p in stack), breaks)
         start = a
         for c in cuts:
             self._emit(text, start, c, out)
             start = c
         self._emit(text, start, b, out)
 
+    def _units(self, text: str, lines: list[tuple[int, int]], b: int) -> list[tuple[int, int, bool, list[int]]]:
+        """(start, end, whether an item, breaks made on purpose within) of the items and the runs of text in a paragraph.
+
+        ``levels`` is the stack of the indents of open list items. A line without a marker goes on in the innermost
+        item, unless it stands left of a nested one, or the break before it was made on purpose.
+        """
+        if len(lines) == 1:
+            return [(lines[0][0], b, _ITEM.match(text, *lines[0]) is not None, [])]
+        longest = max(y - x for x, y in lines)
+        units: list[list] = []
+        levels: list[int] = []
+        before = None
+        for x, y in lines:
+            item = _ITEM.match(text, x, y) is not None
+            own = before is not None and self._on_purpose(text, before, (x, y), longest)
+            if item and (before is None or levels or own or text[before[0] : before[1]].rstrip()[-1:] in (":", "：")):
+                indent = self._next(text, x, y) - x
+                while levels and levels[-1] > indent:
+                    levels.pop()
+                if not levels or levels[-1] < indent:
+                    levels.append(indent)
+                units.append([x, True, []])
+            elif levels:
+                nested = len(levels) > 1 and self._next(text, x, y) - x < levels[-1]
+                if own or nested:
+                    levels.clear()
+                    units.append([x, False, []])
+            elif before is None:
+                units.append([x, False, []])
+            elif own:
+                units[-1][2].append(x)
+            before = (x, y)
+        ends = [u[0] for u in units[1:]] + [b]
+        return [(u[0], e, u[1], u[2]) for u, e in zip(units, ends)]
+
+    def _on_purpose(self, text: str, before: tuple[int, int], line: tuple[int, int], longest: int) -> bool:
+        """Whether a single line break ends a heading or a line of its own rather than wrapping a sentence.
+
+        The line before it leaves half of the paragraph's width free, begins as a sentence does, and a sentence can
+        begin behind it.
+        """
+        a, b = before[0], before[1]
+        head = text[a:b].strip()
+        if 2 * len(head) > longest or not head[:1].isalnum() or head[:1].islower() or _CJK.search(text, *line):
+            return False
+        k = self._next(text, *line)
+        return (text[k].isupper() or text[k].isdigit()) or _ITEM.match(text, *line) is not None
+
     @staticmethod
     def _emit(text: str, a: int, b: int, out: list) -> None:
         while a < b and text[a].isspace():
@@ -177,7 +223,13 @@ class Splitter:
             out.append((a, b))
 
     def _lower(self, text: str) -> bool:
-        """Whether sentences of this text start in lower case."""
+        """Whether sentences of this text start in lower case; the last text's answer is kept."""
+        if self._told[0] is not text:
+            self._told = text, self._starts_lower(text)
+        return self._told[1]
+
+    @staticmethod
+    def _starts_lower(text: str) -> bool:
         lower = upper = 0
         for m in _HEAD.finditer(text):
             if text[m.start()] == "." and abbreviation(text, m.start(), max(0, m.start() - 12)):
@@ -192,11 +244,17 @@ class Splitter:
 
     # -- the automaton ----------------------------------------------------
 
-    def _cuts(self, text: str, a: int, b: int, low: bool, loose: frozenset) -> tuple[list[int], list]:
+    def _cuts(self, text: str, a: int, b: int, low: bool, loose: frozenset, breaks: list[int]) -> tuple[list[int], list]:
         cuts: list[int] = []
         stack: list[tuple[str, int]] = []
         start = pos = a
+        breaks = breaks[::-1]
         while m := _EVENT.search(text, pos, b):
+            while breaks and breaks[-1] <= m.start():
+                if not stack and breaks[-1] > start:
+                    start = breaks[-1]
+                    cuts.append(start)
+                breaks.pop()
             pos, kind, token = m.end(), m.lastgroup, m[0]
             end = None
             if kind == "emoji":
@@ -226,6 +284,8 @@ class Splitter:
             if end is not None:
                 cuts.append(end)
                 start = pos = end
+        if not stack:
+            cuts += [k for k in reversed(breaks) if k > start]
         return cuts, stack
 
     def _with_tail(self, text: str, j: int, b: int) -> int:
@@ -323,7 +383,7 @@ class Splitter:
             return (low or j > k) and self.starters(text, k, abbreviated)
         return c.isalpha() and (bool(_CJK.match(c)) or self.starters(text, k)) if not c.isdigit() else False
 
-    def _thai(self, text: str, a: int, b: int, loose: frozenset = frozenset()) -> tuple[list[int], list]:
+    def _thai(self, text: str, a: int, b: int, low: bool, loose: frozenset, breaks: list[int]) -> tuple[list[int], list]:
         """Blanks end sentences, unless a figure stands on either side or a quotation or bracket is open."""
         cuts, stack, k = [], [], a
         while k < b:
@@ -358,7 +418,7 @@ COUNTS = ("starts", "begun", "inside", "anew", "goes_on", "total")
 def _count(text: str, plain: Splitter, n: dict[str, Counter]) -> None:
     """Adds the words of ``text`` to ``n``, sentences split by the rules that need no model."""
     low, before = plain._lower(text), 0
-    n["total"].update(words_of(text, repeats=True))
+    n["total"].update(_WORDS.findall(text.lower()))  # as they stand; ``_totals`` makes words of them
     for a, b in plain.spans(text):
         end = a
         while end > before and text[end - 1].isspace():
@@ -384,10 +444,18 @@ def _count(text: str, plain: Splitter, n: dict[str, Counter]) -> None:
                     n["goes_on"][_plain(w)] += 1
 
 
-def words_of(text: str, repeats: bool = False) -> list[str]:
+def words_of(text: str) -> list[str]:
     """The words of ``text`` that a starting word may be looked up by; those of signs without blanks never are."""
-    words = [w.split("_")[0] for w in _WORDS.findall(text.lower()) if not _CJK.match(w)]
-    return words if repeats else list(dict.fromkeys(words))
+    return list(_totals(dict.fromkeys(_WORDS.findall(text.lower()), 1)))
+
+
+def _totals(found: dict[str, int]) -> Counter:
+    """Counts of words from those of what ``_WORDS`` finds."""
+    out: Counter = Counter()
+    for w, n in found.items():
+        if not _CJK.match(w):
+            out[w.split("_")[0]] += n
+    return out
 
 
 def _decided(starts, begun, inside, anew, goes_on, total, all_starts, all_total):
@@ -415,6 +483,7 @@ def fit_starters(texts: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]
     n, plain = {c: Counter() for c in COUNTS}, Splitter()
     for text in texts:
         _count(text, plain, n)
+    n["total"] = _totals(n["total"])
     every = {w: np.array([n[c][w] for c in COUNTS]) for w in set().union(*n.values())}
     of_script: dict[str, np.ndarray] = {}
     for w, k in every.items():
@@ -438,6 +507,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: dict[str, Counter] = {c: Counter() for c in COUNTS}
 
     def send():
+        n["total"] = _totals(n["total"])
         every = list(set().union(*n.values()))
         columns = [pa.array([n[c][w] for w in every], pa.int64()) for c in COUNTS]
         names = ["word", "script", *COUNTS]

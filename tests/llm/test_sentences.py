@@ -91,3 +91,20 @@ def test_going_on_after_an_abbreviation_is_weighed():
     texts = ["We saw tea etc. and so on. And it was."] * 3 + ["It was tea etc. The end. The rest."] * 3 + ["See etc. the cup."]
     words, goes_on = S.fit_starters(texts)
     assert "the" in words and "the" not in goes_on and "and" in goes_on
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Steps:\n- one thing\n- two thing", ["Steps:", "- one thing", "- two thing"]),
+        ("Heading line\nThis is text. More text.", ["Heading line", "This is text.", "More text."]),
+        ("1. one\n  - inner item\n  - inner two that goes\n    on here\n2. two\n\nEnd.", ["1. one", "- inner item", "- inner two that goes\n    on here", "2. two", "End."]),
+        ("- outer\n  - inner\nBack to the text of it all which is long. And more.", ["- outer", "- inner", "Back to the text of it all which is long.", "And more."]),
+        ("It is (a thing\nThat is inside) and a very long line that goes on and on. So.", ["It is (a thing\nThat is inside) and a very long line that goes on and on.", "So."]),
+        ("A sentence that was wrapped\nat its usual width. Next\none goes on.", ["A sentence that was wrapped\nat its usual width.", "Next\none goes on."]),
+        ("Two  blanks in it. Then more.", ["Two  blanks in it.", "Then more."]),
+        ("One\u2028\u2028Two", ["One", "Two"]),
+    ],
+)
+def test_levels_of_lists_and_lines_of_their_own(text, wanted):
+    assert [text[a:b] for a, b in S.Splitter().spans(text)] == wanted
