@@ -44,7 +44,7 @@ def per_value(kind: str, make: Callable[[], Callable]) -> Callable[..., Column]:
     @F.arrow_udf(kind)
     def udf(*columns: pa.Array) -> pa.Array:
         f = make()
-        if len(columns) > 1:
+        if len(columns) > 1 or pa.types.is_nested(columns[0].type):
             return pa.array(map(f, *(c.to_pylist() for c in columns)), type=_arrow_type(kind))
         distinct = pc.dictionary_encode(columns[0], null_encoding="encode")
         if 2 * len(distinct.dictionary) > len(distinct):

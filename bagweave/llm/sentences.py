@@ -10,7 +10,9 @@ starts a sentence if it does so more often than it goes on after an emoji, by co
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -39,23 +41,42 @@ ORDINAL_AFTER = "im am vom zum beim der die das den dem des jeder jeden jedem ab
 
 STRONG = "。！？｡؟۔।॥"
 MARKS = f".!?…{STRONG}‼⁉"
+_WEAK = frozenset((".", "!", "?", "…"))
 OPEN, CLOSE = "«„“「『（([{【《〈‹", "»”」』）)]}】》〉›"
 PAIR = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "【": "】", "《": "》", "〈": "〉", "‹": "›", '"': '"', "¿": "?"}
 
+def _spans(pattern: str) -> list[tuple[int, int]]:
+    """The spans of code points of the basic plane at which a match of ``pattern`` may begin, digits aside."""
+    begins, spans = regex.compile(pattern), []
+    for k in range(0x3A, 0x10000):
+        if not 0xD800 <= k < 0xE000 and begins.match(chr(k)):
+            if spans and spans[-1][1] == k - 1:
+                spans[-1] = spans[-1][0], k
+            else:
+                spans.append((k, k))
+    return spans
+
+
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 _PARAGRAPH = regex.compile(rf"{_BREAK}(?:[^\S\n\r]*{_BREAK})+")
 _LINE = regex.compile(rf"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _ITEM = regex.compile(r"\s*(?:[-*•·–—‣◦]|\(?\d{1,3}[.)]|\p{L}[)])\s+\S")
 _EMOJI = EMOJI_RUN.pattern
+
 _EVENT = regex.compile(rf"(?P<emoji>{_EMOJI}(?:\s*{_EMOJI})*)|(?P<mark>[{regex.escape(MARKS)}]+)|(?P<open>[{regex.escape(OPEN)}¿])|(?P<close>[{regex.escape(CLOSE)}])|(?P<dq>\")")
+#: Where an event may begin: a first look by the faster engine.
+_MAY_BE = re.compile("[" + re.escape(MARKS + OPEN + CLOSE + '¿"') + "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(_EMOJI)) + "\U00010000-\U0010ffff]")
 _LAST = regex.compile(r"(\p{L}+)$")
 _MORE = regex.compile(rf"[{regex.escape(MARKS)}]+")
-_HEAD = regex.compile(r"(?:\n\s*\n|[.!?])[\"'«„“(¿¡]*\s+([\p{Ll}\p{Lu}])|^[\"'«„“(¿¡\s]*([\p{Ll}\p{Lu}])")
+_HEAD = re.compile(r"(?:\n\s*\n|[.!?])[\"'«„“(¿¡]*\s+([^\W\d_])|\A[\"'«„“(¿¡\s]*([^\W\d_])")
 _TAIL = regex.compile(rf"\s*{_EMOJI}(?:\s*{_EMOJI})*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_THAI, _LETTER = regex.compile(r"\p{Thai}"), regex.compile(r"\p{L}")
+_THAI, _LETTER = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]"), regex.compile(r"\p{L}")
 _WORD = regex.compile(r"[\"'«„“(\[¿¡]*([\p{L}\p{M}]+(?:['’_-][\p{L}\p{M}\p{N}]+)*)")
-_WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’_-][\p{L}\p{M}\p{N}]+)*")
+#: Letters with their marks, and figures; beyond the basic plane the blocks of letters.
+_SIGNS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(r"[\p{L}\p{M}]")) + "\U00010000-\U0001cfff\U0001d400-\U0001d7cb\U0001e000-\U0001eeff\U00020000-\U0003ffff"
+_FIGURES = "0-9" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(r"\p{N}"))
+_WORDS = re.compile(rf"[{_SIGNS}]+(?:['’_-][{_SIGNS}{_FIGURES}]+)*")
 _ORDINAL = regex.compile(r"([\p{L}]+)\s+\d{1,2}$")
 _LETTERS = regex.compile(r"(?:(?<![\p{L}\p{N}_])|(?<=\.))\p{L}$")
 _DOTTED = regex.compile(r"(?<![\p{L}\p{N}_.])(?:\p{L}\.)+\p{L}$")
@@ -103,7 +124,7 @@ def abbreviation(text: str, dot: int, low: int) -> str:
         k -= 1
     if found:
         return found
-    if _LETTERS.search(text, max(low, dot - 3), dot):
+    if dot > low and text[dot - 1].isalpha() and not (dot > 1 and text[dot - 2].isalnum()) and _LETTERS.search(text, max(low, dot - 3), dot):
         return "may" if _DOTTED.search(text, max(low, dot - 12), dot) else "never"
     return ""
 
@@ -132,30 +153,29 @@ class Splitter:
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Code point offsets (start, end) of the sentences of ``text``; none for empty or blank text."""
         out, low = [], self._lower(text)
+        for start, end, item, breaks in self.units(text):
+            if item:
+                self._emit(text, start, end, out)
+            else:
+                self._text(text, start, end, low, breaks, out)
+        return out
+
+    # -- levels -----------------------------------------------------------
+
+    def units(self, text: str) -> Iterator[tuple[int, int, bool, list[int]]]:
+        """The list items and the runs of text between them of all paragraphs; see ``_units``."""
         at = 0
         for m in [*_PARAGRAPH.finditer(text), None]:
             end = m.start() if m else len(text)
             if at < end:
-                self._paragraph(text, at, end, low, out)
+                lines = [x.span() for x in _LINE.finditer(text, at, end) if not x[0].isspace()]
+                if lines:
+                    yield from self._units(text, lines, end)
             at = m.end() if m else end
-        return out
-
-    # -- levels -----------------------------------------------------------
-
-    def _paragraph(self, text: str, a: int, b: int, low: bool, out: list) -> None:
-        lines = [m.span() for m in _LINE.finditer(text, a, b) if not m[0].isspace()]
-        if not lines:
-            return
-        for start, end, item, breaks in self._units(text, lines, b):
-            if item:
-                self._emit(text, start, end, out)
-            else:
-                self._text(text, start, end, low, breaks, out)
 
     def _text(self, text: str, a: int, b: int, low: bool, breaks: list[int], out: list) -> None:
-        seen = text[a:b]
-        thai = len(_THAI.findall(seen))
-        read = self._thai if thai and 2 * thai > len(_LETTER.findall(seen)) else self._cuts
+        thai = _THAI.search(text, a, b) and len(_THAI.findall(text, a, b))
+        read = self._thai if thai and 2 * thai > len(_LETTER.findall(text, a, b)) else self._cuts
         cuts, stack = read(text, a, b, low, frozenset(), breaks)
         if stack:  # openers that never close bind nothing
             cuts, _ = read(text, a, b, low, frozenset(p for _, p in stack), breaks)
@@ -230,13 +250,14 @@ class Splitter:
 
     @staticmethod
     def _starts_lower(text: str) -> bool:
+        heads = [(m.start(), c) for m in _HEAD.finditer(text) if (c := m[1] or m[2]).islower() or c.isupper()]
+        if not any(c.islower() for _, c in heads):
+            return False
         lower = upper = 0
-        for m in _HEAD.finditer(text):
-            if text[m.start()] == "." and abbreviation(text, m.start(), max(0, m.start() - 12)):
-                continue
-            if text[max(0, m.start() - 1) : m.start() + 1] == "..":
+        for k, c in heads:
+            if text[k] == "." and abbreviation(text, k, max(0, k - 12)) or text[max(0, k - 1) : k + 1] == "..":
                 continue
-            if (m[1] or m[2]).islower():
+            if c.islower():
                 lower += 1
             else:
                 upper += 1
@@ -249,7 +270,8 @@ class Splitter:
         stack: list[tuple[str, int]] = []
         start = pos = a
         breaks = breaks[::-1]
-        while m := _EVENT.search(text, pos, b):
+        keycaps = text.find("⃣", a, b) >= 0  # these begin with a plain digit
+        while m := _EVENT.search(text, pos, b) if keycaps else self._event(text, pos, b):
             while breaks and breaks[-1] <= m.start():
                 if not stack and breaks[-1] > start:
                     start = breaks[-1]
@@ -288,6 +310,15 @@ class Splitter:
             cuts += [k for k in reversed(breaks) if k > start]
         return cuts, stack
 
+    @staticmethod
+    def _event(text: str, pos: int, b: int) -> regex.Match | None:
+        """The next event from ``pos`` on."""
+        while f := _MAY_BE.search(text, pos, b):
+            if m := _EVENT.match(text, f.start(), b):
+                return m
+            pos = f.end()
+        return None
+
     def _with_tail(self, text: str, j: int, b: int) -> int:
         """``j`` moved behind the emoji that belong to the sentence before."""
         t = _TAIL.match(text, j, b)
@@ -299,7 +330,7 @@ class Splitter:
 
     def _mark_ends(self, text: str, start: int, m: regex.Match, b: int, low: bool) -> int | None:
         token, i, j = m[0], m.start(), m.end()
-        strong = any(c in STRONG for c in token)
+        strong = token not in _WEAK and any(c in STRONG for c in token)
         while j < b and text[j] in CLOSE + "”’":
             j += 1
         after = text[j] if j < b else ""
@@ -313,13 +344,15 @@ class Splitter:
                 kind = abbreviation(text, i, start)
                 if kind == "never":
                     return None
-                last = _LAST.search(text, max(start, i - 5), i)
                 k = self._next(text, j, b)
-                if last and last[1].lower() in _DIGIT_WORDS and k < b and text[k].isdigit():
-                    return None
-                o = _ORDINAL.search(text, max(start, i - 24), i)
-                if o and o[1].lower() in _ORDINAL_WORDS and k < b and text[k].isalpha():
-                    return None
+                if k < b and text[k].isdigit():
+                    last = _LAST.search(text, max(start, i - 5), i)
+                    if last and last[1].lower() in _DIGIT_WORDS:
+                        return None
+                elif k < b and i and text[i - 1].isdigit() and text[k].isalpha():
+                    o = _ORDINAL.search(text, max(start, i - 24), i)
+                    if o and o[1].lower() in _ORDINAL_WORDS:
+                        return None
                 if kind == "may" and k < b and not self._begins(text, k, low, True):
                     return None
         tail = self._with_tail(text, j, b)
@@ -415,32 +448,74 @@ class Splitter:
 COUNTS = ("starts", "begun", "inside", "anew", "goes_on", "total")
 
 
-def _count(text: str, plain: Splitter, n: dict[str, Counter]) -> None:
-    """Adds the words of ``text`` to ``n``, sentences split by the rules that need no model."""
-    low, before = plain._lower(text), 0
-    n["total"].update(_WORDS.findall(text.lower()))  # as they stand; ``_totals`` makes words of them
-    for a, b in plain.spans(text):
-        end = a
-        while end > before and text[end - 1].isspace():
-            end -= 1
-        w = _WORD.match(text, a, b)
-        if w:
-            last = text[end - 1] if end else ""
-            if not last or last in MARKS or "\n\n" in text[end:a]:
-                n["starts"][_plain(w)] += 1
-                if last == "." and abbreviation(text, end - 1, before) == "may":
-                    n["anew"][_plain(w)] += 1
-            elif EMOJI_RUN.match(last):
-                n["begun"][_plain(w)] += 1
-        before = a
+#: Where a lower-case word may stand behind an emoji or a full stop: looked at closer in ``_count``.
+_SPOT = re.compile(r"[^\s\w,;:()!?\"'`/\\+*=-]\s+(?=[^\W\d_])")
+
+
+class _Asked(Starters):
+    """No words at all, but remembers whether any was asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.any = False
+
+    def __call__(self, text: str, at: int, abbreviated: bool = False) -> bool:
+        self.any = True
+        return False
+
+
+class FirstReader:
+    """Reads texts by the rules that need no model, counts words for the model, and leaves open what hangs on it."""
+
+    def __init__(self):
+        self.asked = _Asked()
+        self.plain = Splitter(self.asked)
+        self.n: dict[str, Counter] = {c: Counter() for c in COUNTS}
+
+    def read(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, str, bool, list[int]]]]:
+        """(spans, open units): an open unit is (offset, its text, whether sentences start in lower case, its breaks)."""
+        plain, low = self.plain, self.plain._lower(text)
+        every, spans, left = [], [], []
+        for start, end, item, breaks in plain.units(text):
+            self.asked.any, known = False, len(every)
+            if item:
+                plain._emit(text, start, end, every)
+            else:
+                plain._text(text, start, end, low, breaks, every)
+            if self.asked.any:
+                left.append((start, text[start:end], low, [k - start for k in breaks]))
+            else:
+                spans += every[known:]
+        self._count(text, every, low)
+        return spans, left
+
+    def _count(self, text: str, spans: list[tuple[int, int]], low: bool) -> None:
+        n, before = self.n, 0
+        n["total"].update(_WORDS.findall(text.lower()))  # as they stand; ``_totals`` makes words of them
+        for a, b in spans:
+            end = a
+            while end > before and text[end - 1].isspace():
+                end -= 1
+            w = _WORD.match(text, a, b)
+            if w:
+                last = text[end - 1] if end else ""
+                if not last or last in MARKS or "\n\n" in text[end:a]:
+                    n["starts"][_plain(w)] += 1
+                    if last == "." and abbreviation(text, end - 1, before) == "may":
+                        n["anew"][_plain(w)] += 1
+                elif EMOJI_RUN.match(last):
+                    n["begun"][_plain(w)] += 1
+            before = a
         if low:
-            continue
-        for m in _EVENT.finditer(text, a, b):
-            w = m.end() < b and text[m.end()].isspace() and _WORD.match(text, plain._next(text, m.end(), b))
-            if w and w[1][0].islower():
-                if m.lastgroup == "emoji":
+            return
+        starts = [a for a, _ in spans]
+        for m in _SPOT.finditer(text):
+            if text[m.end()].islower():
+                a, b = spans[bisect_right(starts, m.start()) - 1]
+                w = m.end() < b and _WORD.match(text, m.end(), b)
+                if w and EMOJI_RUN.match(text[m.start()]):
                     n["inside"][_plain(w)] += 1
-                elif m[0] == "." and abbreviation(text, m.start(), a) == "may":
+                elif w and text[m.start()] == "." and abbreviation(text, m.start(), a) == "may":
                     n["goes_on"][_plain(w)] += 1
 
 
@@ -480,9 +555,10 @@ def _script_name(c: str) -> str:
 
 def fit_starters(texts: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Words that start sentences, and those that go on after an abbreviation, of a few texts; ``fit`` is for tables."""
-    n, plain = {c: Counter() for c in COUNTS}, Splitter()
+    reader = FirstReader()
     for text in texts:
-        _count(text, plain, n)
+        reader.read(text)
+    n = reader.n
     n["total"] = _totals(n["total"])
     every = {w: np.array([n[c][w] for c in COUNTS]) for w in set().union(*n.values())}
     of_script: dict[str, np.ndarray] = {}
@@ -498,36 +574,54 @@ def _plain(m: regex.Match) -> str:
 
 #: Distinct words that a task gathers before it sends their counts on; bounds its memory, not the result.
 GATHERED_WORDS = 200_000
-#: Words of the model up to which it travels with the function; a larger one is joined to the words of the texts.
+#: Words of the model up to which it travels with the function; a larger one is joined to the words of the open units.
 MODEL_WORDS = 200_000
 
+_UNIT = pa.struct([("at", pa.int32()), ("text", pa.string()), ("low", pa.bool_()), ("breaks", pa.list_(pa.int32()))])
+_READ = pa.schema([
+    ("doc_id", pa.int64()), ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())), ("units", pa.list_(_UNIT)),
+    ("word", pa.string()), ("script", pa.string()), *((c, pa.int64()) for c in COUNTS),
+])
+_READ_SQL = "doc_id bigint, start array<int>, end array<int>, units array<struct<at:int,text:string,low:boolean,breaks:array<int>>>, word string, script string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over (doc_id, text): rows of documents with what is decided and what is open, and rows of counted words."""
+    reader = FirstReader()
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plain = Splitter()
-    n: dict[str, Counter] = {c: Counter() for c in COUNTS}
+    def rows(size, known):
+        return pa.record_batch([known[f.name].cast(f.type) if f.name in known else pa.nulls(size, f.type) for f in _READ], schema=_READ)
 
-    def send():
+    def words():
+        n = reader.n
         n["total"] = _totals(n["total"])
         every = list(set().union(*n.values()))
-        columns = [pa.array([n[c][w] for w in every], pa.int64()) for c in COUNTS]
-        names = ["word", "script", *COUNTS]
-        yield pa.record_batch([pa.array(every, pa.string()), pa.array(map(_script_of, every), pa.string()), *columns], names=names)
+        counts = {c: pa.array([n[c][w] for w in every], pa.int64()) for c in COUNTS}
+        yield rows(len(every), {"word": pa.array(every, pa.string()), "script": pa.array(map(_script_of, every), pa.string()), **counts})
         for counter in n.values():
             counter.clear()
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            _count(text, plain, n)
-            if len(n["total"]) >= GATHERED_WORDS:
-                yield from send()
-    yield from send()
-
-
-def fit(documents: DataFrame) -> DataFrame:
-    """(word, total, goes_on): the words that start sentences, counted over all documents (text)."""
-    texts = documents.select("text").filter("text IS NOT NULL")
-    counts = texts.mapInArrow(_counted, "word string, script string, " + ", ".join(f"{c} bigint" for c in COUNTS))
-    words = durable(counts.groupBy("word", "script").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+        spans, left = [], []
+        for text in batch.column(1).to_pylist():
+            s, u = reader.read(text) if text else ([], [])
+            spans.append(s)
+            left.append([dict(zip(("at", "text", "low", "breaks"), x)) for x in u])
+            if len(reader.n["total"]) >= GATHERED_WORDS:
+                yield from words()
+        start, end = (pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32())) for k in (0, 1))
+        yield rows(batch.num_rows, {"doc_id": batch.column(0), "start": start, "end": end, "units": pa.array(left, pa.list_(_UNIT))})
+    yield from words()
+
+
+def read(documents: DataFrame) -> DataFrame:
+    """The first pass over ``documents`` (doc_id, text), written: see ``_read``."""
+    return durable(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_read, _READ_SQL))
+
+
+def fit(first: DataFrame) -> DataFrame:
+    """(word, total, goes_on): the words that start sentences, counted over all documents of a first pass."""
+    words = durable(first.filter("word IS NOT NULL").groupBy("word", "script").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     scripts = words.groupBy("script").agg(F.greatest(F.sum("starts"), F.lit(1)).alias("all_starts"), F.greatest(F.sum("total"), F.lit(1)).alias("all_total"))
     starter, goes_on = _decided(*map(F.col, (*COUNTS, "all_starts", "all_total")))
     model = words.join(F.broadcast(scripts), "script").select("word", "total", starter.alias("starter"), goes_on.alias("goes_on"))
@@ -537,48 +631,63 @@ def fit(documents: DataFrame) -> DataFrame:
 _splitters: dict[int, Splitter] = {}
 
 
+def _splitter(model: tuple) -> Splitter:
+    key = hash(model)
+    if key not in _splitters:
+        _splitters[key] = Splitter(Starters(*model))
+    return _splitters[key]
+
+
 def sentence_spans(text: Column, model: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())) -> Column:
     """array<struct<a, b>> of the sentences' offsets; empty for null, empty and blank texts."""
-    key = hash(model)
 
     def make():
-        if key not in _splitters:
-            _splitters[key] = Splitter(Starters(*model))
-        f = _splitters[key].spans
+        f = _splitter(model).spans
         return lambda s: [{"a": a, "b": b} for a, b in f(s)] if s else []
 
     return per_value("array<struct<a:int,b:int>>", make)(text)
 
 
-def _spans_by_own_words(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, text) with ``spans``, the model joined to the distinct words of each distinct text."""
+def _unit_spans(splitter: Splitter, unit: dict) -> list[dict]:
+    out: list[tuple[int, int]] = []
+    splitter._text(unit["text"], 0, len(unit["text"]), unit["low"], unit["breaks"], out)
+    return [{"a": unit["at"] + a, "b": unit["at"] + b} for a, b in out]
 
-    def make():
-        return lambda s: words_of(s) if s else []
 
-    def split():
-        def one(s, words, goes_on):
-            return [{"a": a, "b": b} for a, b in Splitter(Starters(words or (), goes_on or ())).spans(s)] if s else []
+def _closed(units: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, spans) of the open units (doc_id, unit), by the words of ``model`` that stand in them."""
+    rows = model.limit(MODEL_WORDS + 1).collect()
+    kind = "array<struct<a:int,b:int>>"
+    if len(rows) <= MODEL_WORDS:
+        known = tuple(sorted(r.word for r in rows)), tuple(sorted(r.word for r in rows if r.goes_on))
+
+        def with_all():
+            s = _splitter(known)
+            return lambda unit: _unit_spans(s, unit)
 
-        return one
+        return units.select("doc_id", per_value(kind, with_all)(F.col("unit")).alias("spans"))
 
-    keyed = durable(documents.withColumn("_key", F.sha2("text", 256)))
-    asked = keyed.select("_key", F.explode(per_value("array<string>", make)(F.col("text"))).alias("word")).distinct()
+    def with_own():
+        return lambda unit, words, goes_on: _unit_spans(Splitter(Starters(words or (), goes_on or ())), unit)
+
+    keyed = durable(units.withColumn("_key", F.monotonically_increasing_id()))
+    asked = keyed.select("_key", F.explode(per_value("array<string>", lambda: lambda s: words_of(s) if s else [])(F.col("unit.text"))).alias("word"))
     own = lookup_skewed(asked, model, ["word"], "total").groupBy("_key").agg(F.collect_list("word").alias("words"), F.collect_list(F.when(F.col("goes_on"), F.col("word"))).alias("on"))
-    return keyed.join(own, "_key", "left").select("doc_id", per_value("array<struct<a:int,b:int>>", split)(F.col("text"), F.col("words"), F.col("on")).alias("spans"))
+    return keyed.join(own, "_key", "left").select("doc_id", per_value(kind, with_own)(F.col("unit"), F.col("words"), F.col("on")).alias("spans"))
 
 
 def sentences(documents: DataFrame, model: tuple[tuple[str, ...], tuple[str, ...]] | None = None) -> DataFrame:
-    """(doc_id, start_char, end_char), one row per sentence of every document; blank documents have none."""
-    spans = None
-    if model is None:
-        fitted = fit(documents)
-        rows = fitted.limit(MODEL_WORDS + 1).collect()
-        if len(rows) > MODEL_WORDS:
-            spans = _spans_by_own_words(documents, fitted)
-        else:
-            model = tuple(sorted(r.word for r in rows)), tuple(sorted(r.word for r in rows if r.goes_on))
-    if spans is None:
-        spans = documents.select("doc_id", sentence_spans(F.col("text"), model).alias("spans"))
-    at = spans.select("doc_id", F.explode("spans").alias("s"))
-    return at.select("doc_id", F.col("s.a").cast("bigint").alias("start_char"), F.col("s.b").cast("bigint").alias("end_char"))
+    """(doc_id, start_char, end_char), one row per sentence of every document; blank documents have none.
+
+    Without a model, one pass over the texts decides all that needs none and counts the words that the model is made
+    of; only the units of text in which the model is asked are read again.
+    """
+    if model is not None:
+        at = documents.select("doc_id", F.explode(sentence_spans(F.col("text"), model)).alias("s")).select("doc_id", "s.a", "s.b")
+    else:
+        first = read(documents)
+        there = first.filter("word IS NULL")
+        at = there.select("doc_id", F.explode(F.arrays_zip("start", "end")).alias("s")).select("doc_id", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
+        later = _closed(there.select("doc_id", F.explode("units").alias("unit")), fit(first))
+        at = at.unionByName(later.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.a", "s.b"))
+    return at.select("doc_id", F.col("a").cast("bigint").alias("start_char"), F.col("b").cast("bigint").alias("end_char"))
