@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..runtime import broadcast_if_small, durable, hash_unit, lookup_skewed
+from ..runtime import broadcast_if_small, durable, hash_unit, is_small, lookup_skewed
 
 #: Ids below are special tokens.
 FIRST_ID = 5
@@ -37,19 +40,40 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def encode(rows: DataFrame, vocab: DataFrame, key: str, unknown: int) -> DataFrame:
-    """(key, ids) of (key, tokens); unknown tokens get ``unknown``. The vocabulary is broadcast if counted small."""
+    """(key, ids) of (key, tokens); unknown tokens get ``unknown``; null tokens give no ids.
+
+    A vocabulary that is counted small goes along with an Arrow function, and no token is shuffled; a larger one is
+    joined token by token. ``key`` is unique.
+    """
+    if is_small(vocab):
+        known = vocab.filter("token IS NOT NULL").select("token", "token_id").collect()
+        return rows.select(key, _ids_by(known, unknown)(F.col("tokens")).alias("ids"))
     flat = rows.select(key, F.posexplode("tokens").alias("pos", "token"))
     ids = flat.join(broadcast_if_small(vocab), "token", "left").select(key, F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("id")).alias("s"))
     made = ids.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["id"]).alias("ids"))
     return rows.select(key).join(made, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
+def _ids_by(known: list, unknown: int):
+    """An Arrow function from arrays of tokens to arrays of their ids."""
+    tokens, ids = [r[0] for r in known], [r[1] for r in known] + [unknown]
+
+    @F.arrow_udf("array<int>")
+    def look_up(lists: pa.Array) -> pa.Array:
+        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(tokens, pa.string())), len(tokens))
+        ends = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()).take(at))
+
+    return look_up
+
+
 def packed(rows: DataFrame, partition: list[str], order: list[str], block: int, bos: int, eos: int) -> DataFrame:
     """(partition, block_id, input_ids): the ids of (partition, order, ids) rows in order, as full blocks BOS ... EOS.
 
     Each partition key is packed by itself and its remainder dropped. Offsets come from running sums of row sizes,
     in two levels: over ranges of ``order`` first, then within a range, so a key with a third of all rows
-    is not one window.
+    is not one window. A row gives one piece to each block it touches, not one per id.
     """
     if block <= 2:
         raise ValueError("a block needs room beyond its two end marks")
@@ -59,11 +83,15 @@ def packed(rows: DataFrame, partition: list[str], order: list[str], block: int,
     sums = ranged.groupBy(*partition, "_p").agg(F.sum("_size").alias("_s"))
     base = sums.select(*partition, "_p", F.coalesce(F.sum("_s").over(W.partitionBy(*partition).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = W.partitionBy(*partition, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    at = ranged.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(F.broadcast(base), [*partition, "_p"])
-    flat = at.select(*partition, (F.col("_base") + F.col("_in")).alias("_o"), F.posexplode("ids").alias("_k", "_id"))
-    cells = flat.select(*partition, F.floor((F.col("_o") + F.col("_k")) / inner).alias("block_id"), F.struct((F.col("_o") + F.col("_k")).alias("o"), F.col("_id").alias("i")).alias("_c"))
-    blocks = cells.groupBy(*partition, "block_id").agg(F.collect_list("_c").alias("_l")).filter(F.size("_l") == inner)
-    ids = F.transform(F.array_sort("_l"), lambda c: c["i"])
+    at = ranged.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(broadcast_if_small(base), [*partition, "_p"])
+    at = at.filter("_size > 0").select(*partition, "ids", "_size", (F.col("_base") + F.col("_in")).alias("_o"))
+    touched = F.sequence(F.floor(F.col("_o") / inner), F.floor((F.col("_o") + F.col("_size") - 1) / inner))
+    pieces = at.select("*", F.explode(touched).alias("block_id")).withColumn("_a", F.greatest(F.col("_o"), F.col("block_id") * inner))
+    piece = F.slice("ids", (F.col("_a") - F.col("_o") + 1).cast("int"), F.least(F.lit(inner), (F.col("block_id") + 1) * inner - F.col("_a")).cast("int"))
+    pieces = pieces.select(*partition, "block_id", F.struct(F.col("_a").alias("o"), piece.alias("i")).alias("_c"))
+    blocks = pieces.groupBy(*partition, "block_id").agg(F.collect_list("_c").alias("_l"))
+    blocks = blocks.withColumn("_ids", F.flatten(F.transform(F.array_sort("_l"), lambda c: c["i"]))).filter(F.size("_ids") == inner)
+    ids = F.col("_ids")
     return blocks.select(*partition, "block_id", F.concat(F.array(F.lit(bos)), ids, F.array(F.lit(eos))).alias("input_ids"))
 
 
@@ -109,37 +137,56 @@ def tail_slice(rows: DataFrame, order: list[str], last: int) -> tuple[DataFrame,
     return indexed.filter(F.col("idx") < cut), indexed.filter(F.col("idx") >= cut)
 
 
-def references(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """(by, references): the distinct non-empty values of a group in the order they first came."""
-    first = rows.filter(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*by, value).agg(F.min(order).alias("_o"))
+def reference_rows(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """(by, value, first): one row for each distinct non-empty value of a group, with the order it first came in.
+
+    The form for groups without a bound: nothing is gathered, copies are counted away per task.
+    """
+    return rows.filter(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*by, value).agg(F.min(order).alias("first"))
+
+
+def references(rows: DataFrame, by: list[str], value: str, order: str, most: int | None = None) -> DataFrame:
+    """(by, references): the distinct non-empty values of a group in the order they first came.
+
+    A group's values become one array; for groups without a bound there is ``reference_rows``, or ``most`` of the
+    first are kept, found in two levels.
+    """
+    first = reference_rows(rows, by, value, order).withColumnRenamed("first", "_o")
+    if most is not None:
+        first = top_per_group(first, by, [F.col("_o"), F.col(value)], most).drop("rn")
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("v")))), lambda s: s["v"]).alias("references"))
 
 
 def permutations(rows: DataFrame, key: str, count: int, seed: int = 42, attempts: int = 128) -> DataFrame:
     """(key, variant_idx, variant): distinct orders of (key, tokens); the given order is variant 0.
 
-    Further ones come from a generator seeded by the row's key, at most ``attempts`` draws.
+    Further ones come from a generator seeded by the row's key, at most ``attempts`` draws; tokens with few orders
+    can so end with fewer than ``count`` variants, each of them once. Null tokens are one empty variant.
     """
 
+    def shuffles(tokens, rng):
+        while True:
+            mixed = list(tokens)
+            rng.shuffle(mixed)
+            yield "".join(mixed)
+
     def draw(batches):
         import hashlib
         import random
+        from itertools import islice
 
         for pdf in batches:
             out = []
             for k, toks in zip(pdf[key], pdf["tokens"]):
-                toks = [] if toks is None else list(toks)
-                variants = ["".join(toks)]
+                given = [] if toks is None else list(toks)
                 rng = random.Random(int(hashlib.sha1(f"{seed}:{k}".encode()).hexdigest()[:12], 16))
-                for _ in range(attempts if len(toks) > 1 else 0):
-                    if len(variants) >= count:
+                draws = islice(shuffles(given, rng), attempts) if len(given) > 1 else ()
+                distinct = dict.fromkeys(["".join(given)])
+                for text in draws if count > 1 else ():
+                    distinct[text] = None
+                    if len(distinct) == count:
                         break
-                    mixed = list(toks)
-                    rng.shuffle(mixed)
-                    v = "".join(mixed)
-                    if v not in variants:
-                        variants.append(v)
-                out += [(k, i, v) for i, v in enumerate(variants)]
+                out += [(k, i, v) for i, v in enumerate(distinct)]
             yield pd.DataFrame(out, columns=[key, "variant_idx", "variant"])
 
     kind = dict(rows.dtypes)[key]
@@ -166,7 +213,7 @@ def sample_per_group(rows: DataFrame, group: list[str], key: str, k: int, seed:
     return top_per_group(rows, group, [hash_order(str(seed), F.col(key)), F.col(key)], k).drop("rn")
 
 
-#: First words that stay as they are behind a prefix.
+# First words that stay as they are behind a prefix.
 PRONOUNS = ("I", "I'm", "I've", "I'll", "I'd")
 #: Draws per reply that is wanted, before a pool counts as used up.
 ATTEMPTS = 40

@@ -20,24 +20,28 @@ def holdout_size(n: int, share: float) -> int:
 
 
 def held_out_keys(keys: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """The (key) rows that come first in hash order; ``keys`` are distinct.
+    """The (key) rows that come first in hash order; ``keys`` are distinct."""
+    last = last_held_hash(keys, share, seed)
+    return keys.select("key").filter(hashed(seed, F.col("key")) <= F.lit(last)) if last else keys.select("key").limit(0)
 
-    The threshold hash is found by the count per 4-digit hash prefix (65,536 rows at most), then a top-k within one
-    prefix, so no single task orders all keys.
+
+def last_held_hash(keys: DataFrame, share: float, seed: int = 42) -> str | None:
+    """The hash of the last key that is held out, None where none is; ``keys`` are distinct.
+
+    It is found by the count per 4-digit hash prefix (65,536 rows at most), then a top-k within one prefix, so no
+    single task orders all keys. A row's own hash then tells whether its key is held out, without a join.
     """
     h = keys.select("key", hashed(seed, F.col("key")).alias("h"))
     need = holdout_size(h.count(), share)
     if need == 0:
-        return h.select("key").limit(0)
+        return None
     cum, at = 0, "ffff"
     for row in h.groupBy(F.substring("h", 1, 4).alias("p")).count().orderBy("p").collect():
         if cum + row["count"] >= need:
             at = row["p"]
             break
         cum += row["count"]
-    sure = h.filter(F.substring("h", 1, 4) < at)
-    edge = h.filter(F.substring("h", 1, 4) == at).orderBy("h").limit(need - cum)
-    return sure.select("key").unionByName(edge.select("key"))
+    return h.filter(F.substring("h", 1, 4) == at).orderBy("h").limit(need - cum).agg(F.max("h")).first()[0]
 
 
 def split_rows(rows: DataFrame, strategy: str = "prompt_bag", share: float = 0.05, seed: int = 42, holdout: DataFrame | None = None, row_key: str = "row_id") -> DataFrame:
@@ -51,8 +55,8 @@ def split_rows(rows: DataFrame, strategy: str = "prompt_bag", share: float = 0.0
         keyed = rows.withColumn("_key", alias.split_key(rows, strategy))
         keys = durable(keyed.select(F.col("_key").alias("key")).distinct())
         if keys.limit(2).count() == 2:
-            held = held_out_keys(keys, share, seed).select(F.col("key").alias("_key"), F.lit(True).alias("_held"))
-            return keyed.join(held, "_key", "left").withColumn("part", F.when(F.col("_held"), "validation").otherwise("train")).drop("_key", "_held")
+            held = hashed(seed, F.col("_key")) <= F.lit(last_held_hash(keys, share, seed))
+            return keyed.withColumn("part", F.when(held, "validation").otherwise("train")).drop("_key")
     unit = hash_unit(str(seed), F.col(row_key))
     return rows.withColumn("part", F.when(unit < share, "validation").otherwise("train"))
 

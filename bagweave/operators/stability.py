@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bags
+from ..runtime import durable, lookup_skewed
 from .joins import last_per_key
 
+#: Classes of equal bags in a part of a group, about; a task compares two parts.
+GROUP_PART = 1000
+
 
 def group_stability(rows: DataFrame, group: list[str], tokens: str = "p", similarity=bags.bag_jaccard) -> DataFrame:
     """(group, stability, members): the mean similarity over unordered pairs of a group; 1.0 for a single member.
 
-    Equal bags are one class, weighted by its size, and only classes meet: copies are never paired up. The similarity
-    must not depend on the order of tokens.
+    Equal bags are one class, weighted by its size, and only classes meet: copies are never paired up. The classes of
+    a group are cut into parts of GROUP_PART, about, and each task has one pair of parts, so a group with a third of
+    all rows is many tasks. The similarity must not depend on the order of tokens.
     """
-    c = rows.groupBy(*group, F.array_sort(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("_a")).agg(F.count("*").cast("double").alias("_n"))
+    c = durable(rows.groupBy(*group, F.array_sort(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("_a")).agg(F.count("*").cast("double").alias("_n")))
     total = c.groupBy(*group).agg(F.sum("_n").alias("members"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_same"))
-    other = c.select(*group, F.col("_a").alias("_b"), F.col("_n").alias("_m"))
-    pairs = c.join(other, group).filter("_a < _b").groupBy(*group).agg(F.sum(similarity(F.col("_a"), F.col("_b")) * F.col("_n") * F.col("_m")).alias("_s"))
+    parts = c.groupBy(*group).agg(F.ceil(F.count("*") / GROUP_PART).cast("int").alias("_parts"), F.count("*").alias("_size"))
+    cut = lookup_skewed(c, durable(parts), group, "_size").withColumn("_own", F.pmod(F.xxhash64("_a"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = cut.select(*group, "_a", "_n", F.col("_own").alias("_i"), every.alias("_j"))
+    right = cut.select(*group, F.col("_a").alias("_b"), F.col("_n").alias("_m"), every.alias("_i"), F.col("_own").alias("_j"))
+    pairs = left.join(right, [*group, "_i", "_j"]).filter("_a < _b").groupBy(*group).agg(F.sum(similarity(F.col("_a"), F.col("_b")) * F.col("_n") * F.col("_m")).alias("_s"))
     mean = F.try_divide(F.col("_same") + F.coalesce("_s", F.lit(0.0)), F.col("members") * (F.col("members") - 1) / 2)
     out = total.join(pairs, group, "left")
     return out.select(*group, F.coalesce(mean, F.lit(1.0)).alias("stability"), F.col("members").cast("bigint").alias("members"))

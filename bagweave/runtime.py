@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset in a local session (tests) a
     temporary one is used. Lost executors don't matter: the files are on shared storage.
     """
     shared_folder(df.sparkSession)
@@ -31,10 +32,16 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: the session's setting, or a temporary one where that is unset."""
+    """The shared folder for intermediate data: the session's setting, or a temporary one where that is unset.
+
+    Off a single machine a temporary folder would be the driver's own disk, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bagweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bagweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -74,9 +81,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is counted to hold at most ``rows`` rows and ``size`` bytes (of its values as JSON).
+
+    This runs the plan of ``df`` once, up to that many rows.
+    """
+    told = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return told.n <= rows and (told.b or 0) <= size
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows, else unhinted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it is counted small, by rows and by bytes, else unhinted."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def lookup_skewed(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import remaining_tasks
+from ..runtime import shared_folder
 
 
 def metric_states(stream: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
@@ -29,21 +30,30 @@ def metric_state_from_files(spark: SparkSession, path: str, folder: str | None =
     states = metric_states(stream.withColumn("one", F.lit(1.0)), ["event_type"], "value", "one")
     out = folder or _shared(spark)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/state")
+    def keep(batch: DataFrame, number: int) -> None:  # each batch has its own table: a failed one leaves the last whole
+        batch.write.mode("overwrite").parquet(f"{out}/state/{number:012d}")
 
     run = states.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return finished(spark.read.parquet(f"{out}/state"))
+    return finished(spark.read.schema(f"{_types(states)}").parquet(latest_state(spark, f"{out}/state")))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/stream-{spark.sparkContext.applicationId}-{next(_COUNT)}" if root else tempfile.mkdtemp(prefix="bagweave-")
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
 
+def latest_state(spark: SparkSession, folder: str) -> str:
+    """The newest table of ``folder`` that was written to its end."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [str(s.getPath()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max(whole)
 
-_COUNT = iter(range(1 << 62))
+
+def _shared(spark: SparkSession) -> str:
+    """A fresh folder under the session's shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def append_missing(tasks: DataFrame, log_path: str, key: list[str], work) -> DataFrame:
