@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,90 @@ def nearest(table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     packed = durable(numbered.groupBy("b").agg(F.collect_list(F.struct("id", "x")).alias("rows")))  # BLOCK rows, about
     left = packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = left.join(packed.select(F.col("b").alias("cb"), F.col("rows").alias("c")), "cb").select("q", "c")
+    return _best(pairs, k).withColumnRenamed("id", key)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, c in zip(batch.column("q"), batch.column("c")):
-                (qi, qx), (ci, cx) = (_unpack(x) for x in (q, c))
-                sim = qx @ cx.T
-                sim[qi[:, None] == ci[None, :]] = -np.inf
-                m = min(k, sim.shape[1])
-                if m < sim.shape[1]:  # the k-th value decides; all ties at it stay, the merge orders them
-                    kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1 : m]
-                else:
-                    kth = np.full((len(qi), 1), -np.inf)
-                r, col = np.nonzero((sim >= kth) & (sim > -np.inf))
-                yield pa.record_batch([pa.array(qi[r]), pa.array(ci[col]), pa.array(sim[r, col])], names=["id", "neighbour", "similarity"])
-
-    found = pairs.mapInArrow(multiply, "id bigint, neighbour bigint, similarity double")
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, similarity, rank): the k most similar of each query over block pairs (q, c) of arrays of (id, x)."""
+    found = pairs.select("q", "c").mapInArrow(partial(_multiply, k=k), "id bigint, neighbour bigint, similarity double")
     best = W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.withColumnRenamed("id", key)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _multiply(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for q, c in zip(batch.column("q"), batch.column("c")):
+            (qi, qx), (ci, cx) = (_unpack(x) for x in (q, c))
+            sim = qx @ cx.T
+            sim[qi[:, None] == ci[None, :]] = -np.inf
+            m = min(k, sim.shape[1])
+            if m < sim.shape[1]:  # the k-th value decides; all ties at it stay, the merge orders them
+                kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1 : m]
+            else:
+                kth = np.full((len(qi), 1), -np.inf)
+            r, col = np.nonzero((sim >= kth) & (sim > -np.inf))
+            yield pa.record_batch([pa.array(qi[r]), pa.array(ci[col]), pa.array(sim[r, col])], names=["id", "neighbour", "similarity"])
+
+
+#: Vectors that cells are fitted on at most, cells at most, rounds of the fit, and cells a query looks into.
+FIT_VECTORS, MAX_CELLS, FIT_ROUNDS, PROBES = 20_000, 4096, 8, 16
+
+
+def cell_centres(unit: DataFrame, n: int, cells: int | None = None, sample: int = FIT_VECTORS) -> np.ndarray:
+    """Centres of about sqrt(n) cells of unit vectors (id, x), by spherical k-means on a bounded, hashed sample.
+
+    All vectors are then indexed; only the places of the centres come from the sample.
+    """
+    share = min(1.0, 2.0 * sample / max(1, n))
+    some = unit.filter(F.pmod(F.xxhash64(F.lit("cells"), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = some.orderBy(F.xxhash64(F.lit("cells"), "id"), "id").limit(sample).collect()
+    x = np.array([r.x for r in rows], np.float64)
+    count = min(len(x), cells or min(MAX_CELLS, max(1, round(n**0.5))))
+    centres = x[:count]
+    for _ in range(FIT_ROUNDS if count else 0):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def nearest_approximate(table: DataFrame, queries: DataFrame, key: str, vector: str, k: int, probes: int = PROBES, cells: int | None = None) -> DataFrame:
+    """(key, neighbour, similarity, rank) for (key, vector) ``queries`` against the whole ``table``: by inverted cells.
+
+    Every vector goes to its nearest centre's cell, and a query is compared with the rows of its ``probes`` nearest
+    cells: n * probes / cells comparisons instead of n. A cell is cut into blocks of BLOCK rows, about, so one that
+    holds a third of all rows is many tasks. Similarities are exact; a neighbour in a cell that isn't looked into is
+    missed. Null vectors have no neighbours and are none.
+    """
+    unit = durable(table.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.normalized(F.col(vector)).alias("x")))
+    n = unit.count()
+    centres = cell_centres(unit, n, cells)
+    if not len(centres):
+        return table.select(F.col(key), F.lit(0).cast("bigint").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    placed = durable(_in_cells(unit, centres, 1))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # a row per centre
+    blocks = placed.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("c"))
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.normalized(F.col(vector)).alias("x"))
+    asked = _in_cells(asked, centres, min(probes, len(centres)))
+    of_cell = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    packed = asked.join(F.broadcast(of_cell), "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("qb")).agg(F.collect_list(F.struct("id", "x")).alias("q"))
+    return _best(packed.join(blocks, "cell"), k).withColumnRenamed("id", key)
+
+
+def _in_cells(unit: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(id, x, cell), one row for each of the ``probes`` nearest cells of a vector."""
+    shared = unit.sparkSession.sparkContext.broadcast(centres)  # MAX_CELLS vectors at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("x")
+            near = np.argsort(-(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            rows = np.repeat(np.arange(len(lists)), near.shape[1])
+            yield pa.record_batch([batch.column("id").take(pa.array(rows)), lists.take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], names=["id", "x", "cell"])
+
+    return unit.select("id", "x").mapInArrow(place, "id bigint, x array<double>, cell int")
 
 
 def _unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from ..functions import alias, bags, detokenize, noise, vectors
 from ..functions import sequences as sq
 from ..functions import tokens as tk
 from ..operators import benchmark, corpus, joins, score, semantic, split, stability
-from ..runtime import broadcast_if_small, hash_unit, spread, table
+from ..runtime import broadcast_if_small, durable, hash_unit, lookup_skewed, spread, table
 from ..streaming import incremental
 from . import sql
 
@@ -143,19 +143,6 @@ def bag_overlap_relational(spark, d):
 # -- joins -----------------------------------------------------------------
 
 
-@query(
-    f"""WITH last AS (SELECT benchmark_id, coalesce(arg_max(coalesce(generated_emoji, '\x01'), sample_id)) AS v FROM raw_sample WHERE model = 'quill' GROUP BY 1),
-    j AS (SELECT b.benchmark_id, l.benchmark_id IS NULL AS missing, coalesce(nullif(l.v, '\x01'), '') AS pred, b.target_emoji FROM reply_benchmark b LEFT JOIN last l ON b.benchmark_id = l.benchmark_id),
-    m AS ({sql.metrics(f"SELECT benchmark_id, missing, {sql.emoji('pred')} AS p, {sql.emoji('target_emoji')} AS t FROM j")})
-    SELECT benchmark_id, missing, {s6("benchmark_score")} FROM m"""
-)
-def left_join_missing(spark, d):
-    preds = table(spark, d, "raw_sample").filter("model = 'quill'").select("benchmark_id", "sample_id", "generated_emoji")
-    joined = joins.with_predictions(table(spark, d, "reply_benchmark").select("benchmark_id", "target_emoji"), preds, "benchmark_id", "sample_id")
-    rows = joined.select("benchmark_id", "missing", tk.emoji_tokens(F.col("prediction")).alias("p"), tk.emoji_tokens(F.col("target_emoji")).alias("t"))
-    return score.scored_pairs(rows).select("benchmark_id", "missing", *r6("benchmark_score"))
-
-
 _MODELS = "(SELECT DISTINCT model FROM raw_sample WHERE model IS NOT NULL)"
 
 
@@ -171,8 +158,7 @@ def _of_models(spark, d, rows: DataFrame) -> DataFrame:
     m AS ({sql.metrics(f"SELECT model, benchmark_id, missing, {sql.emoji('pred')} AS p, {sql.emoji('target_emoji')} AS t FROM j")})
     SELECT model, benchmark_id, missing, {s6("benchmark_score")} FROM m"""
 )
-def left_join_missing_all(spark, d):
-    """As left_join_missing, for every model."""
+def left_join_missing(spark, d):
     preds = table(spark, d, "raw_sample").select("model", "benchmark_id", "sample_id", "generated_emoji")
     asked = _of_models(spark, d, table(spark, d, "reply_benchmark").select("benchmark_id", "target_emoji"))
     joined = joins.with_predictions(asked, preds, ["model", "benchmark_id"], "sample_id")
@@ -210,23 +196,11 @@ def holdout_anti(spark, d):
 _TASKS = "(SELECT b.benchmark_id, v.v::INT AS variant, s.s::INT AS sample_idx FROM reply_benchmark b, range(3) v(v), range(4) s(s))"
 
 
-@query(
-    f"""SELECT benchmark_id, variant, sample_idx FROM {_TASKS} t WHERE NOT EXISTS (SELECT 1 FROM raw_sample r WHERE r.model = 'quill'
-    AND r.benchmark_id = t.benchmark_id AND r.prompt_variant_idx IS NOT DISTINCT FROM t.variant AND r.sample_idx IS NOT DISTINCT FROM t.sample_idx)"""
-)
-def resume_anti(spark, d):
-    ids = table(spark, d, "reply_benchmark").select("benchmark_id")
-    tasks = ids.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    done = table(spark, d, "raw_sample").filter("model = 'quill'").select("benchmark_id", F.col("prompt_variant_idx").alias("variant"), "sample_idx")
-    return joins.remaining_tasks(tasks, done, ["benchmark_id", "variant", "sample_idx"])
-
-
 @query(
     f"""SELECT model, benchmark_id, variant, sample_idx FROM {_TASKS} t CROSS JOIN {_MODELS} k WHERE NOT EXISTS (SELECT 1 FROM raw_sample r WHERE r.model = k.model
     AND r.benchmark_id = t.benchmark_id AND r.prompt_variant_idx IS NOT DISTINCT FROM t.variant AND r.sample_idx IS NOT DISTINCT FROM t.sample_idx)"""
 )
-def resume_anti_all(spark, d):
-    """As resume_anti, for every model."""
+def resume_anti(spark, d):
     ids = _of_models(spark, d, table(spark, d, "reply_benchmark").select("benchmark_id"))
     tasks = ids.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
     done = table(spark, d, "raw_sample").select("model", "benchmark_id", F.col("prompt_variant_idx").alias("variant"), "sample_idx")
@@ -255,7 +229,9 @@ def ref_collect(spark, d):
 def reference_lookup(spark, d):
     by = table(spark, d, "heldout_validation").groupBy("input").agg(F.min("row_id").alias("row_id"))
     rows = table(spark, d, "raw_sample").select("sample_id", "benchmark_id").join(broadcast_if_small(table(spark, d, "reply_benchmark").select("benchmark_id", "prompt_emoji"), 50_000), "benchmark_id")
-    return rows.join(by, F.col("prompt_emoji") == F.col("input")).select("sample_id", "row_id")
+    asked = rows.groupBy("prompt_emoji").agg(F.count("*").alias("n"))  # a hot prompt is no hot task
+    keyed = durable(by.withColumnRenamed("input", "prompt_emoji").join(asked, "prompt_emoji"))
+    return lookup_skewed(rows, keyed, ["prompt_emoji"], "n").select("sample_id", "row_id")
 
 
 # -- vocabulary and encoding -----------------------------------------------
@@ -440,7 +416,7 @@ def _effect_sql() -> str:
 @query(_effect_sql())
 def order_effect(spark, d):
     key = ["model", "benchmark_id", "sample_idx", "variant"]
-    slots = _samples(spark, d).groupBy(*key).agg(F.max_by("p", "sample_id").alias("p"))
+    slots = durable(_samples(spark, d).filter("sample_idx = 0 OR variant = 0").groupBy(*key).agg(F.max_by("p", "sample_id").alias("p")))
     group = ["model", "benchmark_id"]
     per = stability.order_effect(slots.filter("sample_idx = 0"), slots.filter("variant = 0"), group)
     return per.groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("perm_stability", "resample_stability", "order_effect")], F.count("*").alias("problems"))
@@ -456,6 +432,8 @@ def pairwise_stability(spark, d):
     return stability.group_stability(rows, ["group_id"]).select("group_id", "members", *r6("stability"))
 
 
+_INVALID = f"""SELECT model, round(avg(greatest(0, length(x) - length(array_to_string(e, '')))::DOUBLE / greatest(1, length(x))), 6) AS r
+    FROM (SELECT model, {sql.strip("coalesce(raw_prediction, '')")} AS x, {sql.emoji("coalesce(raw_prediction, '')")} AS e FROM ({_SAMPLES})) GROUP BY model"""
 _RICH = sql.metrics(f"SELECT *, CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(p, lambda x: list_contains(pr, x)))::DOUBLE / len(p) END AS copy_rate FROM ({_SAMPLES})")
 
 
@@ -465,11 +443,12 @@ _RICH = sql.metrics(f"SELECT *, CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(l
     v AS ({_pair_sql("variant", "AND a.sample_idx IS NOT DISTINCT FROM b.sample_idx AND a.sample_idx IS NOT NULL", "")})
     SELECT f.model, count(*) AS problems, sum(f.n)::BIGINT AS samples, round(avg(fs), 6) AS first_benchmark_score, round(avg(bs), 6) AS best_all_benchmark_score, round(avg(fc), 6) AS first_copy_rate,
     round(avg(bc), 6) AS best_all_copy_rate, round(avg(ex), 6) AS pass_all_exact_bag, round(sum(c) / sum(f.n), 6) AS mean_copy_rate, round(avg(v.s), 6) AS permutation_stability, count(v.s) AS permutation_stability_n,
-    CASE WHEN count(v.s) > 0 THEN 'ok' ELSE 'not_applicable' END AS permutation_stability_status FROM f LEFT JOIN v USING (model, benchmark_id) GROUP BY f.model"""
+    CASE WHEN count(v.s) > 0 THEN 'ok' ELSE 'not_applicable' END AS permutation_stability_status, any_value(x.r) AS invalid_text_ratio
+    FROM f LEFT JOIN v USING (model, benchmark_id) JOIN ({_INVALID}) x ON x.model = f.model GROUP BY f.model"""
 )
 def sample_summary(spark, d):
     rounded = ("first_benchmark_score", "best_all_benchmark_score", "first_copy_rate", "best_all_copy_rate", "pass_all_exact_bag", "mean_copy_rate", "permutation_stability")
-    return _summary(spark, d).select("model", "problems", "samples", *r6(*rounded), "permutation_stability_n", "permutation_stability_status")
+    return _summary(spark, d).select("model", "problems", "samples", *r6(*rounded), "permutation_stability_n", "permutation_stability_status", *r6("invalid_text_ratio"))
 
 
 def _summary(spark, d):
@@ -479,15 +458,6 @@ def _summary(spark, d):
     return score.sample_summary(rows, ["model"], "benchmark_id", "sample_id", stable)
 
 
-@query(
-    f"""SELECT model, count(*)::BIGINT AS samples, round(avg(greatest(0, length(x) - length(array_to_string(e, '')))::DOUBLE / greatest(1, length(x))), 6) AS invalid_text_ratio
-    FROM (SELECT model, {sql.strip("coalesce(raw_prediction, '')")} AS x, {sql.emoji("coalesce(raw_prediction, '')")} AS e FROM ({_SAMPLES})) GROUP BY model"""
-)
-def sample_summary_text(spark, d):
-    """The part of sample_summary on text that is no emoji."""
-    return _summary(spark, d).select("model", "samples", *r6("invalid_text_ratio"))
-
-
 @query(f"SELECT model, round(sum(benchmark_score * nt) / sum(nt), 6) AS nll, round(sum(benchmark_score * nt) / sum(nt) / ln(2), 6) AS bpd, round(exp(sum(benchmark_score * nt) / sum(nt)), 6) AS ppl FROM ({_SCORED}) GROUP BY model")
 def weighted_ppl(spark, d):
     rows = _scored(spark, d).groupBy("model").agg((F.sum(F.col("benchmark_score") * F.col("target_len")) / F.sum("target_len")).alias("nll"))
@@ -535,15 +505,16 @@ def cosine_label_mean(spark, d):
 
 @query(
     f"""WITH h AS (SELECT DISTINCT row_id, unnest({sql.emoji("prompt_emoji")}) AS token FROM curated_permutation),
-    m AS (SELECT token, d, avg(x) AS m FROM h JOIN {_DIM} e ON e.vec_id = h.row_id % 500 GROUP BY ALL),
+    m AS (SELECT token, d, avg(x) AS m FROM h JOIN {_DIM} e ON h.row_id % 1200 = e.vec_id % 1200 GROUP BY ALL),
     u AS (SELECT token, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY token)), 1e-12) AS u FROM m),
     c AS (SELECT token, d, u - avg(u) OVER (PARTITION BY d) AS c FROM u),
     z AS (SELECT token, d, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY token)), 1e-12) AS z FROM c)
     SELECT token, round(max(z) FILTER (d = 1), 6) AS d1, round(max(z) FILTER (d = 64), 6) AS d64 FROM z GROUP BY token"""
 )
 def token_embedding_centered(spark, d):
-    rows = table(spark, d, "curated_permutation").select(F.pmod("row_id", F.lit(500)).alias("vec_id"), tk.emoji_tokens(F.col("prompt_emoji")).alias("tokens"))
-    held = rows.join(table(spark, d, "embeddings"), "vec_id").select("tokens", F.col("embedding").alias("vector"))
+    """Every vector belongs to the row of the same number modulo the 1,200 rows of the table."""
+    rows = table(spark, d, "curated_permutation").select(F.pmod("row_id", F.lit(1200)).alias("k"), tk.emoji_tokens(F.col("prompt_emoji")).alias("tokens"))
+    held = rows.join(table(spark, d, "embeddings").withColumn("k", F.pmod("vec_id", F.lit(1200))), "k").select("tokens", F.col("embedding").alias("vector"))
     return semantic.token_embeddings(held).select("token", F.round(F.col("embedding")[0], 6).alias("d1"), F.round(F.col("embedding")[63], 6).alias("d64"))
 
 
@@ -689,11 +660,6 @@ def _noise_sql(t: str) -> str:
     round(10 * t, 6) AS linear, round(power(0.001::DOUBLE, 1 - t), 6) AS geometric, round((1 - {_E}) * t, 6) AS move_chance FROM t"""
 
 
-@query(_noise_sql("SELECT vec_id, (vec_id + 0.5) / 601::DOUBLE AS t FROM embeddings WHERE vec_id < 500"))
-def noise_table(spark, d):
-    return _noise_rows(table(spark, d, "embeddings").filter("vec_id < 500"), (F.col("vec_id") + 0.5) / 601.0)
-
-
 def _noise_rows(rows: DataFrame, t) -> DataFrame:
     cols = [F.round(noise.schedule(k, t)[0], 6).alias(k) for k in ("loglinear", "cosine", "cosine2", "linear", "geometric")]
     rates = [F.round(noise.schedule(k, t)[1], 6).alias(f"{k}_rate") for k in ("loglinear", "cosine")]
@@ -702,8 +668,7 @@ def _noise_rows(rows: DataFrame, t) -> DataFrame:
 
 
 @query(_noise_sql(f"SELECT vec_id, {sql.unit("'noise:' || vec_id::VARCHAR")} AS t FROM embeddings"))
-def noise_table_all(spark, d):
-    """As noise_table, for every vector: t by hash of its id."""
+def noise_table(spark, d):
     return _noise_rows(table(spark, d, "embeddings"), hash_unit("noise", F.col("vec_id")))
 
 
@@ -773,11 +738,13 @@ def template_ids(spark, d):
 
 @query(
     """SELECT benchmark_id, mode, CASE mode WHEN 'emoji_only' THEN prompt_emoji WHEN 'text_assisted' THEN coalesce(nullif(frontier_prompt, ''), 'Message: ' || coalesce(instruction, '') || chr(10) || 'Prompt emojis: ' || coalesce(prompt_emoji, ''))
-    ELSE 'Prompt emojis: ' || prompt_emoji || chr(10) || 'Reply with only 2 to 5 emojis. Match the meaning. Do not use words.' END AS prompt FROM reply_benchmark, (VALUES ('emoji_only'), ('text_assisted'), ('emoji_constrained')) m(mode)"""
-)
+    WHEN 'emoji_constrained' THEN 'Prompt emojis: ' || prompt_emoji || chr(10) || 'Reply with only 2 to 5 emojis. Match the meaning. Do not use words.'
+    ELSE 'Emoji message: ' || prompt_emoji || chr(10) || 'Write a NEW emoji-only reply, not a copy of the input.' || chr(10) || 'Use 2 to 5 emojis.' || chr(10) || 'Do not reuse any input emoji unless absolutely necessary.' || chr(10) || 'Reply:' END AS prompt
+    FROM reply_benchmark, (VALUES ('emoji_only'), ('text_assisted'), ('emoji_constrained'), ('emoji_no_copy_reply')) m(mode)"""
+)  # fixed values: the prompt templates
 def prompt_modes(spark, d):
     rows, out = table(spark, d, "reply_benchmark"), None
-    for mode in ("emoji_only", "text_assisted", "emoji_constrained"):
+    for mode in ("emoji_only", "text_assisted", "emoji_constrained", "emoji_no_copy_reply"):
         text = corpus.prompt_text(mode, F.col("prompt_emoji"), F.col("instruction"), F.col("prompt_emoji"), F.col("frontier_prompt"))
         one = rows.select("benchmark_id", F.lit(mode).alias("mode"), text.alias("prompt"))
         out = one if out is None else out.unionByName(one)
@@ -816,8 +783,13 @@ def streaming_metric_state(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries of the core by name."""
+    from . import composites, kernels, search  # noqa: F401  they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of those that SQL can express."""
+    queries()
     return dict(_SQL)
