@@ -29,11 +29,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def geodesic(cos: Column) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / F.pi()
+    """The angle as a share of the half turn; null for null (the largest and least of values pass nulls over)."""
+    return F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / F.pi())
 
 
 def l2_of_cosine(cos: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * cos))
+    return F.when(cos.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * cos)))
 
 
 def l2(a: Column, b: Column) -> Column:

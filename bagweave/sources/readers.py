@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import alias
-from ..operators.corpus import with_global_index
+from ..operators.corpus import tail_slice, union_sources, with_global_index
+from ..runtime import hash_unit
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -52,6 +55,41 @@ def harvested_strings(df: DataFrame, names=alias.HARVEST) -> DataFrame:
     return df.select(F.explode(each).alias("x")).select("x.*").filter("text IS NOT NULL")
 
 
+def harvested_file(spark: SparkSession, path: str, names=alias.HARVEST) -> DataFrame:
+    """(field, text) of every string in a file: JSON lines, one JSON document, or plain lines.
+
+    Rows of JSON are objects, of which the aliases are taken, or plain values (field null). A document is a list of
+    rows, or an object with the rows under 'data' or 'rows', else as its values; it is one value by nature and is
+    parsed in one task. Blank lines of other files are left out, others are stripped. Null values give nothing.
+    """
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ext not in (".json", ".jsonl"):
+        lines = spark.read.text(path).select(F.lit(None).cast("string").alias("field"), F.trim("value").alias("text"))
+        return lines.filter("text <> ''")
+
+    def rows_of(payload):
+        if isinstance(payload, dict):
+            payload = payload.get("data", payload.get("rows", payload))
+            payload = list(payload.values()) if isinstance(payload, dict) else payload
+        return payload if isinstance(payload, list) else [payload]
+
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for content in pdf["content"]:
+                loaded = json.loads(content)
+                for row in [loaded] if ext == ".jsonl" else rows_of(loaded):
+                    pairs = [(n, row[n]) for n in names if n in row] if isinstance(row, dict) else [(None, row)]
+                    out += [(n, str(v)) for n, v in pairs if v is not None]
+            yield pd.DataFrame(out, columns=["field", "text"])
+
+    if ext == ".jsonl":
+        content = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("content"))
+    else:
+        content = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("content"))
+    return content.mapInPandas(parse, "field string, text string")
+
+
 class Corpora:
     """A registry of named corpora: each name is a loader from (spark, root) to its splits."""
 
@@ -66,10 +104,12 @@ class Corpora:
         self.register(name, lambda spark, root: {s: by_extension(spark, f"{root}/{p}") for s, p in splits.items()})
 
     def load(self, spark: SparkSession, name: str, root: str) -> dict[str, DataFrame]:
-        """The splits of a corpus; an unknown name is read as a parquet table of that name."""
+        """The splits of a corpus; an unknown name is a folder of splits, or a parquet table, of that name."""
         if name in self._loaders:
             return self._loaders[name](spark, root)
-        return {"train": spark.read.parquet(f"{root}/{name}.parquet")}
+        splits = {n: f"{root}/{name}/{n}.jsonl" for n in ("train", "validation", "test")}
+        there = {n: spark.read.json(path) for n, path in splits.items() if exists(spark, path)}
+        return there or {"train": spark.read.parquet(f"{root}/{name}.parquet")}
 
 
 #: Registered names of public corpora; their files are looked for under the root that is given.
@@ -81,6 +121,49 @@ for _name in ("openwebtext", "text2emoji", "emoji_reply"):
     CORPORA.files(_name, train=f"{_name}/train.jsonl")
 
 
+#: Rows at the end of openwebtext that are its validation part, the validation share of text2emoji, and text8's sizes.
+WEB_TAIL, EMOJI_SHARE, TEXT8_SIZES = 100_000, 0.01, (90_000_000, 5_000_000)
+
+
+def _web(part: int):
+    def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+        rows = json_lines_with_ordinal(spark, f"{root}/openwebtext/train.jsonl", "text string")
+        return {("train", "validation")[part]: tail_slice(rows, ["source_index"], WEB_TAIL)[part].drop("idx")}
+
+    return load
+
+
+def _text2emoji(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    rows = json_lines_with_ordinal(spark, f"{root}/text2emoji/train.jsonl", "text string, emoji string, topic string")
+    held = hash_unit("42", F.col("source_index")) < EMOJI_SHARE
+    return {"train": rows.filter(~held), "validation": rows.filter(held)}
+
+
+def _text8(chunk: int):
+    def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+        parts = zipped_text(spark, f"{root}/text8/text8.zip", TEXT8_SIZES, chunk)
+        return {n: parts.filter(F.col("split") == k).drop("split") for k, n in enumerate(("train", "validation", "test"))}
+
+    return load
+
+
+CORPORA.register("openwebtext-train", _web(0))
+CORPORA.register("openwebtext-valid", _web(1))
+CORPORA.register("text2emoji", _text2emoji)
+CORPORA.register("text8", _text8(256))
+CORPORA.register("text8-crop", _text8(512))  # double length: a window of each is drawn later (``noise.cropped``)
+
+
+def with_challenge(rows: DataFrame, challenge: DataFrame, repeat: int = 1) -> DataFrame:
+    """Training rows and a challenge set ``repeat`` times, once at least; missing columns are null."""
+    return union_sources([("rows", rows, 1), ("challenge", challenge, max(1, repeat))]).drop("copy", "label")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def zipped_text(spark: SparkSession, path: str, sizes: tuple[int, ...], chunk: int, drop_last: bool = True) -> DataFrame:
     """(split, chunk, text) of a zip archive with one text file, split by code point counts and cut into chunks.
 
@@ -92,8 +175,6 @@ def zipped_text(spark: SparkSession, path: str, sizes: tuple[int, ...], chunk: i
         import io
         import zipfile
 
-        import pandas as pd
-
         for pdf in batches:
             for content in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -144,8 +225,6 @@ def cache_name(options: dict) -> str:
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, made and written there first if it isn't complete."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import html
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows a report may have: it is formatted by the driver.
 REPORT_ROWS = 10_000
@@ -32,11 +32,27 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def manifest(path: str, values: dict) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on whatever storage the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def manifest(spark: SparkSession, path: str, values: dict) -> None:
     """A small JSON file."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, ensure_ascii=False, indent=2, sort_keys=True)
-        f.write("\n")
+    write_text(spark, path, json.dumps(values, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+
+
+def vocabulary_file(vocab: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """{token: id} as one JSON file, in the order of ids; a larger vocabulary is kept as a table instead."""
+    rows = vocab.select("token", "token_id").orderBy("token_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary file has at most {most} tokens; write a table")
+    write_text(vocab.sparkSession, path, json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False, indent=1) + "\n")
 
 
 def _small(df: DataFrame) -> list:
@@ -57,12 +73,29 @@ def markdown_table(df: DataFrame) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(_cell, r)) + " |" for r in rows)]) + "\n"
 
 
-def markdown_report(path: str, title: str, parts: list[tuple[str, DataFrame | str]]) -> None:
+def markdown_report(spark: SparkSession, path: str, title: str, parts: list[tuple[str, DataFrame | str]]) -> None:
     """A report of headed tables and texts."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"# {title}\n")
-        for head, body in parts:
-            f.write(f"\n## {head}\n\n{body if isinstance(body, str) else markdown_table(body)}")
+    text = f"# {title}\n" + "".join(f"\n## {head}\n\n{body if isinstance(body, str) else markdown_table(body)}" for head, body in parts)
+    write_text(spark, path, text)
+
+
+def evaluation_report(spark: SparkSession, path: str, title: str, setup: dict, summary: DataFrame, curves: DataFrame | None = None, counters: dict | None = None) -> None:
+    """The report of an evaluation: its setup and row counters as a list, then its summary and curves as tables."""
+    listed = "".join(f"- {k}: `{v}`\n" for k, v in {**setup, **(counters or {})}.items())
+    parts: list[tuple[str, DataFrame | str]] = [("Setup", listed), ("Summary", summary)]
+    markdown_report(spark, path, title, parts + ([("Curves", curves)] if curves is not None else []))
+
+
+def benchmark_report(spark: SparkSession, path: str, title: str, rows: DataFrame, by: str = "topic") -> None:
+    """The report of a benchmark: its size, and rows and references per ``by``."""
+    size = F.size("references")
+    per = rows.groupBy(by).agg(F.count("*").alias("rows"), F.sum(size).alias("references"), F.max(size).alias("most_references")).orderBy(by)
+    markdown_report(spark, path, title, [("Size", f"- rows: `{rows.count()}`\n"), (by.capitalize(), per)])
+
+
+def stability_report(spark: SparkSession, path: str, title: str, summary: DataFrame, groups: DataFrame) -> None:
+    """The report of a stability evaluation: means per model, then the least stable groups."""
+    markdown_report(spark, path, title, [("Means", summary), ("Least stable groups", groups.orderBy("stability").limit(50))])
 
 
 # Line colours.
@@ -92,7 +125,5 @@ def svg_lines(df: DataFrame, x: str, y: str, series: str, title: str, width: int
     return "\n".join([*out, "</svg>"]) + "\n"
 
 
-def svg_file(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def svg_file(spark: SparkSession, path: str, text: str) -> None:
+    write_text(spark, path, text)

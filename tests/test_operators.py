@@ -248,7 +248,7 @@ def test_noise_table_of_every_vector(spark, tmp_path):
     from bagweave.plans import queries as Q
 
     spark.range(700).select(F.col("id").alias("vec_id")).write.parquet(f"{tmp_path}/embeddings.parquet")
-    rows = Q.noise_table_all(spark, str(tmp_path)).collect()
+    rows = Q.noise_table(spark, str(tmp_path)).collect()
     assert {r.vec_id for r in rows} == set(range(700)) and all(0 <= r.linear < 10 and r.loglinear >= 0 for r in rows)
 
 
@@ -258,8 +258,8 @@ def test_predictions_and_summary_of_every_model(spark, small):
 
     models = {r.model for r in table(spark, small, "raw_sample").select("model").distinct().collect()} - {None}
     benchmarks = table(spark, small, "reply_benchmark").count()
-    for q in (Q.left_join_missing_all, Q.resume_anti_all):
+    for q in (Q.left_join_missing, Q.resume_anti):
         assert {r.model for r in q(spark, small).select("model").distinct().collect()} == models and len(models) > 1
-    rows = Q.left_join_missing_all(spark, small)
+    rows = Q.left_join_missing(spark, small)
     assert rows.count() == len(models) * benchmarks and rows.filter("NOT missing").select("model").distinct().count() == len(models)
-    assert all(r.invalid_text_ratio > 0 for r in Q.sample_summary_text(spark, small).collect())
+    assert all(r.invalid_text_ratio > 0 for r in Q.sample_summary(spark, small).collect())
