@@ -219,8 +219,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # The emoji of heldout_validation in the spelling of emoji_vocab, found by what is left without variation selectors,
 # invisible characters and joiners at the ends, digits at normal width.
 _BARE = "regexp_replace(regexp_replace(translate({}, '０１２３４５６７８９', '0123456789'), '[\\x{{FE0E}}\\x{{FE0F}}\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180E}}\\x{{200B}}\\x{{200C}}\\x{{200E}}\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '^\\x{{200D}}+|\\x{{200D}}+$', '', 'g')"
-_TOKENS = f"""(SELECT row_id, coalesce(v.token, g.g) AS term FROM (SELECT row_id, unnest(list_concat({sql.emoji("input")}, {sql.emoji("output")})) AS g FROM heldout_validation) g
-    LEFT JOIN (SELECT {_BARE.format("token")} AS k, any_value(token) AS token FROM emoji_vocab WHERE token IS NOT NULL GROUP BY 1) v ON v.k = {_BARE.format("g.g")})"""
+_KNOWN = f"(SELECT {_BARE.format('token')} AS k, any_value(token) AS token FROM emoji_vocab WHERE token IS NOT NULL GROUP BY 1)"
+
+
+def _tokens_sql(table: str, *columns: str) -> str:
+    """(row_id, field, term), one row per emoji of the columns."""
+    each = " UNION ALL ".join(f"SELECT row_id, {k} AS field, unnest({sql.emoji(c)}) AS g FROM {table}" for k, c in enumerate(columns))
+    return f"(SELECT row_id, field, coalesce(v.token, g.g) AS term FROM ({each}) g LEFT JOIN {_KNOWN} v ON v.k = {_BARE.format('g.g')})"
+
+
+_TOKENS = _tokens_sql("heldout_validation", "input", "output")
 _TERMS = f"""SELECT term, occurrences, records, CASE WHEN records <= 5 THEN 'rare' WHEN records * 20 > n THEN 'common' END AS mark
     FROM (SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM {_TOKENS} GROUP BY term), (SELECT count(DISTINCT row_id) AS n FROM {_TOKENS})"""
 _PAIRED = f"""WITH t AS (SELECT DISTINCT row_id, term FROM {_TOKENS}), m AS (SELECT term, count(*) AS records FROM t GROUP BY term), n AS (SELECT count(DISTINCT row_id) AS n FROM t),
@@ -228,11 +236,31 @@ _PAIRED = f"""WITH t AS (SELECT DISTINCT row_id, term FROM {_TOKENS}), m AS (SEL
     SELECT item_a, item_b, together, x.records AS records_a, y.records AS records_b, together::DOUBLE * n / (x.records::DOUBLE * y.records) AS lift, n FROM p JOIN m x ON x.term = item_a JOIN m y ON y.term = item_b, n"""
 
 
+def _near_sql(bags: str, least: int) -> str:
+    """(row_id, key, gone): the whole bag and, from ``least`` items on, the bag without one of them, as text."""
+    text = "array_to_string({}, ' ') || '#' || array_to_string({}, ' ')"
+    without = "list_concat({0}[1:p - 1], {0}[p + 1:])"
+    out = [f"SELECT row_id, {text.format('a', 'b')} AS key, -1 AS gone FROM {bags}"]
+    for k, c in enumerate("ab"):
+        sides = [without.format(c) if x == c else x for x in "ab"]
+        out.append(f"SELECT row_id, {text.format(*sides)}, {k} FROM (SELECT *, unnest(range(1, len({c}) + 1)) AS p FROM {bags} WHERE len(a) + len(b) >= {least})")
+    return "(" + " UNION ".join(out) + ")"
+
+
+_BAGS = f"""SELECT row_id, coalesce(list_sort(list(term) FILTER (field = 0)), []) AS a, coalesce(list_sort(list(term) FILTER (field = 1)), []) AS b FROM {_TOKENS} GROUP BY row_id"""
+_OVERLAPS = f"""WITH h AS MATERIALIZED (SELECT g.*, split FROM ({_BAGS}) g JOIN heldout_validation USING (row_id)),
+    e AS (SELECT * FROM h WHERE split IN ('validation', 'test') AND len(a) > 0 AND len(b) > 0), t AS (SELECT * FROM h WHERE split = 'train' AND len(a) > 0 AND len(b) > 0),
+    c AS (SELECT row_id, list_sort(list(term)) AS a, []::VARCHAR[] AS b FROM {_tokens_sql("curated_permutation", "prompt_emoji")} GROUP BY row_id), i AS (SELECT row_id, a, []::VARCHAR[] AS b FROM h WHERE split = 'train' AND len(a) > 0)
+    SELECT DISTINCT least(x.row_id, y.row_id) AS id_a, greatest(x.row_id, y.row_id) AS id_b FROM {_near_sql("e", 6)} x JOIN {_near_sql("t", 6)} y ON x.key = y.key AND (x.gone = -1 OR y.gone = -1 OR x.gone = y.gone)
+    UNION SELECT least(x.row_id, y.row_id), greatest(x.row_id, y.row_id) FROM {_near_sql("c", 5)} x JOIN {_near_sql("i", 5)} y ON x.key = y.key AND (x.gone = -1 OR y.gone = -1 OR x.gone = y.gone)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can gate. The other operators rest on Unicode kernels, models and iteration, and are tested against brute force."""
     return {
         "p2_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
         "p2_terms": _TERMS,
+        "p6_found": _OVERLAPS,
         "p7_found": f"SELECT item_a, item_b FROM ({_PAIRED}) WHERE together >= 8 AND together * 1000 >= n AND together * n >= 20 * records_a * records_b",
         "p7_pairs": f"SELECT * EXCLUDE (n) REPLACE (round(lift, 6) AS lift) FROM ({_PAIRED})",
         "p9_kept": "SELECT source, target_share, true AS share_kept, true AS cap_kept FROM mix_target WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
