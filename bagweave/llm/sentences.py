@@ -66,16 +66,19 @@ _EMOJI = EMOJI_RUN.pattern
 _EVENT = regex.compile(rf"(?P<emoji>{_EMOJI}(?:\s*{_EMOJI})*)|(?P<mark>[{regex.escape(MARKS)}]+)|(?P<open>[{regex.escape(OPEN)}¿])|(?P<close>[{regex.escape(CLOSE)}])|(?P<dq>\")")
 #: Where an event may begin: a first look by the faster engine.
 _MAY_BE = re.compile("[" + re.escape(MARKS + OPEN + CLOSE + '¿"') + "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(_EMOJI)) + "\U00010000-\U0010ffff]")
+#: Events that are no emoji, by the same engine.
+_SIGN = re.compile(rf"(?P<mark>[{re.escape(MARKS)}]+)|(?P<open>[{re.escape(OPEN)}¿])|(?P<close>[{re.escape(CLOSE)}])|(?P<dq>\")")
+_SIGN_FIRST = frozenset(MARKS + OPEN + CLOSE + '¿"') - set("‼⁉")
 _LAST = regex.compile(r"(\p{L}+)$")
 _MORE = regex.compile(rf"[{regex.escape(MARKS)}]+")
 _HEAD = re.compile(r"(?:\n\s*\n|[.!?])[\"'«„“(¿¡]*\s+([^\W\d_])|\A[\"'«„“(¿¡\s]*([^\W\d_])")
 _TAIL = regex.compile(rf"\s*{_EMOJI}(?:\s*{_EMOJI})*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _THAI, _LETTER = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]"), regex.compile(r"\p{L}")
-_WORD = regex.compile(r"[\"'«„“(\[¿¡]*([\p{L}\p{M}]+(?:['’_-][\p{L}\p{M}\p{N}]+)*)")
 #: Letters with their marks, and figures; beyond the basic plane the blocks of letters.
 _SIGNS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(r"[\p{L}\p{M}]")) + "\U00010000-\U0001cfff\U0001d400-\U0001d7cb\U0001e000-\U0001eeff\U00020000-\U0003ffff"
 _FIGURES = "0-9" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _spans(r"\p{N}"))
+_WORD = re.compile(rf"[\"'«„“(\[¿¡]*([{_SIGNS}]+(?:['’_-][{_SIGNS}{_FIGURES}]+)*)")
 _WORDS = re.compile(rf"[{_SIGNS}]+(?:['’_-][{_SIGNS}{_FIGURES}]+)*")
 _ORDINAL = regex.compile(r"([\p{L}]+)\s+\d{1,2}$")
 _LETTERS = regex.compile(r"(?:(?<![\p{L}\p{N}_])|(?<=\.))\p{L}$")
@@ -314,7 +317,8 @@ class Splitter:
     def _event(text: str, pos: int, b: int) -> regex.Match | None:
         """The next event from ``pos`` on."""
         while f := _MAY_BE.search(text, pos, b):
-            if m := _EVENT.match(text, f.start(), b):
+            m = _SIGN.match(text, f.start(), b) if f[0] in _SIGN_FIRST else _EVENT.match(text, f.start(), b)
+            if m:
                 return m
             pos = f.end()
         return None
@@ -493,11 +497,11 @@ class FirstReader:
         n, before = self.n, 0
         n["total"].update(_WORDS.findall(text.lower()))  # as they stand; ``_totals`` makes words of them
         for a, b in spans:
-            end = a
-            while end > before and text[end - 1].isspace():
-                end -= 1
             w = _WORD.match(text, a, b)
             if w:
+                end = a
+                while end > before and text[end - 1].isspace():
+                    end -= 1
                 last = text[end - 1] if end else ""
                 if not last or last in MARKS or "\n\n" in text[end:a]:
                     n["starts"][_plain(w)] += 1
