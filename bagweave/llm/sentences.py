@@ -114,8 +114,27 @@ _DIGIT_WORDS = set(BEFORE_DIGITS.split())
 _ORDINAL_WORDS = set(ORDINAL_AFTER.split())
 
 
+#: What stands before full stops, without blanks, with what it is; and the last parts of abbreviations with a blank,
+#: for which the part before has to be read too.
+_BEFORE_DOT: dict[str, str] = {}
+_LAST_PARTS = tuple({w.split()[-1] for w in ("z. b", "d. h", "u. a", "p. ex", "p. ej", "т. е", "ee. uu", "т. д", "т. п", "т. д-р")})
+
+
 def abbreviation(text: str, dot: int, low: int) -> str:
-    """'never', 'may' or '': what the word before the full stop at ``dot`` is, read backwards through the trie."""
+    """'never', 'may' or '': what the word before the full stop at ``dot`` is; words met are remembered."""
+    word = text[max(low, text.rfind(" ", low, dot) + 1) : dot]
+    known = _BEFORE_DOT.get(word)
+    if known is None:
+        if len(word) > 24 or word.lower().endswith(_LAST_PARTS):
+            return _abbreviation(text, dot, low)
+        if len(_BEFORE_DOT) > 100_000:
+            _BEFORE_DOT.clear()
+        known = _BEFORE_DOT[word] = _abbreviation(word, len(word), 0)
+    return known
+
+
+def _abbreviation(text: str, dot: int, low: int) -> str:
+    """As ``abbreviation``, read backwards through the trie."""
     node, k, found = _ABBREVIATIONS, dot - 1, ""
     while k >= low:
         c = text[k]
