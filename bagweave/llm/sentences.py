@@ -71,7 +71,8 @@ _SIGN = re.compile(rf"(?P<mark>[{re.escape(MARKS)}]+)|(?P<open>[{re.escape(OPEN)
 _SIGN_FIRST = frozenset(MARKS + OPEN + CLOSE + '¿"') - set("‼⁉")
 _LAST = regex.compile(r"(\p{L}+)$")
 _MORE = regex.compile(rf"[{regex.escape(MARKS)}]+")
-_HEAD = re.compile(r"(?:\n\s*\n|[.!?])[\"'«„“(¿¡]*\s+([^\W\d_])|\A[\"'«„“(¿¡\s]*([^\W\d_])")
+_HEAD = re.compile(r"[\n.!?](?:(?<=[.!?])|\s*\n)[\"'«„“(¿¡]*\s+([^\W\d_])")
+_FIRST = re.compile(r"[\"'«„“(¿¡\s]*([^\W\d_])")
 _TAIL = regex.compile(rf"\s*{_EMOJI}(?:\s*{_EMOJI})*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _THAI, _LETTER = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]"), regex.compile(r"\p{L}")
@@ -272,7 +273,10 @@ class Splitter:
 
     @staticmethod
     def _starts_lower(text: str) -> bool:
-        heads = [(m.start(), c) for m in _HEAD.finditer(text) if (c := m[1] or m[2]).islower() or c.isupper()]
+        first = None if _HEAD.match(text) else _FIRST.match(text)
+        found = [first] if first else []
+        found += _HEAD.finditer(text, first.end() if first else 0)
+        heads = [(m.start(), c) for m in found if (c := m[1]).islower() or c.isupper()]
         if not any(c.islower() for _, c in heads):
             return False
         lower = upper = 0
