@@ -125,10 +125,17 @@ def _unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mean_vectors(rows: DataFrame, group: list[str], vector: str) -> DataFrame:
-    """(group, mean): the mean by dimension, pre-aggregated."""
-    flat = rows.select(*group, F.posexplode(v.doubles(F.col(vector))).alias("d", "x"))
-    means = flat.groupBy(*group, "d").agg(F.avg("x").alias("m"))
-    return means.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
+    """(group, mean): the mean by dimension, pre-aggregated; vectors have one width, null ones are left out.
+
+    One aggregate with a column per dimension: vectors are not taken apart into rows.
+    """
+    there = rows.filter(F.col(vector).isNotNull())
+    first = there.select(F.size(vector).alias("n")).limit(1).collect()
+    if not first or first[0].n == 0:
+        return there.select(*group, F.array().cast("array<double>").alias("mean")).distinct()
+    flat = there.select(*group, v.doubles(F.col(vector)).alias("_x"))
+    dims = [f"_m{d}" for d in range(first[0].n)]
+    return flat.groupBy(*group).agg(*[F.avg(F.get("_x", F.lit(d))).alias(n) for d, n in enumerate(dims)]).select(*group, F.array(*dims).alias("mean"))
 
 
 def token_embeddings(rows: DataFrame) -> DataFrame:
