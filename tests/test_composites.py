@@ -233,3 +233,17 @@ def test_rounds_keep_tables_until_the_next_round_is_there(spark):
 def test_pattern_rank(spark, mode):
     wanted = {"all": 0, "prefix": 1, "other": 4}[mode]
     assert spark.range(1).select(evaluate.pattern_rank(F.lit(mode)).alias("r")).first().r == wanted
+
+
+def test_encoder_and_tokenizer_hooks(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "k bigint, t string")
+    got = {r.k: r.embedding for r in semantic.encoded_texts(rows, "k", "t", lambda: lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert got == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    ids = {r.k: r.i for r in rows.select("k", tk.with_tokenizer(F.col("t"), lambda: lambda t: [ord(c) for c in t]).alias("i")).collect()}
+    assert ids == {1: [97, 98], 2: [], 3: []}
+
+
+def test_means_of_vectors_with_nulls_and_none(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", None), ("c", [0.0, 1.0])], "g string, x array<double>")
+    assert {r.g: r.mean for r in semantic.mean_vectors(rows, ["g"], "x").collect()} == {"a": [2.0, 3.0], "c": [0.0, 1.0]}
+    assert semantic.mean_vectors(rows.limit(0), ["g"], "x").count() == 0
