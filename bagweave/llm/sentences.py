@@ -71,7 +71,7 @@ _SIGN = re.compile(rf"(?P<mark>[{re.escape(MARKS)}]+)|(?P<open>[{re.escape(OPEN)
 _SIGN_FIRST = frozenset(MARKS + OPEN + CLOSE + '¿"') - set("‼⁉")
 _LAST = regex.compile(r"(\p{L}+)$")
 _MORE = regex.compile(rf"[{regex.escape(MARKS)}]+")
-_HEAD = re.compile(r"[\n.!?](?:(?<=[.!?])|\s*\n)[\"'«„“(¿¡]*\s+([^\W\d_])")
+_HEAD = re.compile(r"[\n.!?](?:(?<=[.!?])|(?<=\n)\s*\n)[\"'«„“(¿¡]*\s+([^\W\d_])")
 _FIRST = re.compile(r"[\"'«„“(¿¡\s]*([^\W\d_])")
 _TAIL = regex.compile(rf"\s*{_EMOJI}(?:\s*{_EMOJI})*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")

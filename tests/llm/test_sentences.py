@@ -108,3 +108,7 @@ def test_going_on_after_an_abbreviation_is_weighed():
 )
 def test_levels_of_lists_and_lines_of_their_own(text, wanted):
     assert [text[a:b] for a, b in S.Splitter().spans(text)] == wanted
+
+
+def test_a_quotation_on_the_next_line_is_no_head():
+    assert not S.Splitter._starts_lower("A. \n« b c »") and S.Splitter._starts_lower("a b. c d. e")
