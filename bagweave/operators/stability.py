@@ -23,7 +23,10 @@ def group_stability(rows: DataFrame, group: list[str], tokens: str = "p", simila
     c = durable(rows.groupBy(*group, F.array_sort(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("_a")).agg(F.count("*").cast("double").alias("_n")))
     total = c.groupBy(*group).agg(F.sum("_n").alias("members"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_same"))
     parts = c.groupBy(*group).agg(F.ceil(F.count("*") / GROUP_PART).cast("int").alias("_parts"), F.count("*").alias("_size"))
-    cut = lookup_skewed(c, durable(parts), group, "_size").withColumn("_own", F.pmod(F.xxhash64("_a"), F.col("_parts")).cast("int"))
+    if (parts.agg(F.max("_parts")).first()[0] or 1) == 1:  # no group needs more than one task
+        cut = c.withColumns({"_own": F.lit(0), "_parts": F.lit(1)})
+    else:
+        cut = lookup_skewed(c, durable(parts), group, "_size").withColumn("_own", F.pmod(F.xxhash64("_a"), F.col("_parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     left = cut.select(*group, "_a", "_n", F.col("_own").alias("_i"), every.alias("_j"))
     right = cut.select(*group, F.col("_a").alias("_b"), F.col("_n").alias("_m"), every.alias("_i"), F.col("_own").alias("_j"))
