@@ -68,6 +68,28 @@ def test_hot_group_is_compared_in_parts(spark, monkeypatch):
     assert all(r.stability == 1.0 for g, r in got.items() if g != "hot")
 
 
+def test_pairs_of_a_large_group_are_summed_without_forming_them(spark, monkeypatch):
+    """20,000 different bags in a group, 200 million pairs: the sum by shared sub-bags is exact and in time."""
+    import time
+
+    bags = [[f"t{k % 50}", f"u{k // 50 % 40}", f"w{k // 2000}"] for k in range(20_000)]
+    df = spark.createDataFrame([("g", b) for b in bags], "g string, p array<string>").repartition(4)
+    began = time.time()
+    (got,) = stability.group_stability(df, ["g"]).collect()
+    assert time.time() - began < 60
+    # of the others of a bag, 9 + 39 + 49 share two tokens, 39 * 9 + 49 * 9 + 49 * 39 one
+    wanted = (97 * 2 / 4 + (39 * 9 + 49 * 9 + 49 * 39) / 5) / 19_999
+    assert got.members == 20_000 and abs(got.stability - wanted) < 1e-12
+    rng = np.random.default_rng(5)
+    mixed = [(f"g{k % 3}", [f"t{x}" for x in rng.integers(0, 12, rng.integers(0, 15))]) for k in range(240)]
+    monkeypatch.setattr(stability, "GROUP_PART", 20)
+    monkeypatch.setattr(stability, "TOGETHER", 30)
+    told = {r.g: r.stability for r in stability.group_stability(spark.createDataFrame(mixed, "g string, p array<string>"), ["g"]).collect()}
+    for g in ("g0", "g1", "g2"):
+        pairs = [jaccard(a, b) for a, b in combinations([b for h, b in mixed if h == g], 2)]
+        assert abs(told[g] - sum(pairs) / len(pairs)) < 1e-12
+
+
 def test_stability_summary_and_target_alignment(spark):
     rows = spark.createDataFrame([("m", 1, ["a"], ["a"]), ("m", 1, ["b"], ["a"]), ("m", 2, [], ["a"])], "model string, g int, p array<string>, t array<string>")
     r = evaluate.stability_summary(rows, "model", ["g"]).collect()[0]
