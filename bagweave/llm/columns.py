@@ -14,6 +14,8 @@ from .forms import Forms
 
 #: An emoji vocabulary is a fixed table; a larger one is refused rather than broadcast.
 MAX_VOCABULARY = 100_000
+#: Keys that a task counts before it passes their counts on.
+TALLIED = 200_000
 
 _forms: dict[int, Forms] = {}
 
@@ -124,13 +126,33 @@ def term_counts(vocabulary: tuple[str, ...], *texts: Column) -> Column:
     return per_value("array<struct<term:string,n:int>>", make)(*texts)
 
 
-def bounded_sample(df: DataFrame, key: str, limit: int) -> list:
-    """At most ``limit`` rows, those first by hash of ``key``, for fitting a model on the driver.
+def tally(rows: DataFrame, make: Callable[[], Callable], keys: list[str]) -> DataFrame:
+    """(keys, n): the sums over all rows of what they count; keys are strings.
 
-    A hash threshold from the row count leaves about twice the limit before the ordering, so what tasks send to the
-    driver is bounded however many tasks there are. Below 4 * limit rows the threshold lets all pass.
+    ``make`` builds, once per task, the function from a row's values to its pairs of key tuples and the number that each
+    of them counts. A task adds up what it counts and passes it on from TALLIED keys on; the sums are made by a shuffle.
     """
-    n = df.count()
-    if n > 4 * limit:
-        df = df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * 2.0 * limit / n))
-    return df.orderBy(F.xxhash64(F.lit("sample"), key), key).limit(limit).collect()
+    types = [pa.string()] * len(keys) + [pa.int64()]
+
+    def run(batches):
+        count, found = make(), Counter()
+
+        def told():
+            columns = [*zip(*found), found.values()] if found else [()] * len(types)
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types)], names=[*keys, "n"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for them, n in count(*row):
+                    if n == 1:
+                        found.update(them)
+                    else:
+                        for key in them:
+                            found[key] += n
+            if len(found) >= TALLIED:
+                yield told()
+                found.clear()
+        yield told()
+
+    counted = rows.mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", n bigint")
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n"))

@@ -95,3 +95,30 @@ def test_hot_benchmark_beyond_broadcast(spark, tables, monkeypatch):
     small = sorted(map(tuple, D.defects(*given).collect()))
     monkeypatch.setattr(D, "is_small", lambda *a: False)
     assert sorted(map(tuple, D.defects(*given).collect())) == small
+
+
+def test_models_are_fitted_on_all_samples(spark):
+    """The counts are those of all 12,600 replies and all instructions, as a fit on lists in memory gives them."""
+    rnd = random.Random(8)
+    refusals = ["I'm sorry, but I can't help with that request.", "Sorry, I won't produce a reply to this message.", "Sorry, this message gets no words from me."]
+    bench = [(f"{lang}{k}", f"{ASKED[lang]} {k}", "😀🎉", f" {lang.upper()} ") for lang in TEXTS for k in range(30)] + [("none", "Just so", None, None), ("copied", "What a day", None, "en")]
+    said, langs = [], {b: lang.strip().lower() for b, _, _, lang in bench if lang}
+    for k in range(12_600):
+        lang = rnd.choice(list(TEXTS))
+        pick = rnd.random()
+        text = rnd.choice(refusals) if pick < 0.05 else CLOSING[lang] if pick < 0.3 else "what a day!" if pick < 0.31 else rnd.choice(TEXTS[lang])
+        said.append((text[: rnd.randint(2, len(text))] if rnd.random() < 0.2 else text, rnd.choice([f"{lang}{k % 30}", "none", "unknown"])))
+    samples = spark.createDataFrame([(k, b, t, None) for k, (t, b) in enumerate(said)], SAMPLES).repartition(3)
+    languages, ends, goes_on, (replies, grams) = D.fit(samples, spark.createDataFrame(bench, BENCH), VOCAB)
+    said = [(t.strip(), b) for t, b in said if len(t.strip()) > 1 and D.regex.search(r"\p{L}{2}", t)]
+    assert sum(replies) == len(said) > 10_000
+    asked = [(i, langs[b]) for b, i, _, _ in bench if b in langs]
+    first = D.Languages(D.Languages.fit(asked + [(t, langs[b]) for t, b in said if b in langs]))
+    assert languages == D.Languages.fit(asked + [(t, first.best(t)) for t, b in said if b in langs])
+    whole = D.Refusals.fit([t for t, _ in said])
+    assert replies == whole[0] and all(whole[1][g] == n for g, n in grams.items())
+    one, other = D.Refusals(*whole), D.Refusals(replies, grams)
+    assert one.known == other.known and {t for t, _ in said if one.odds(t) > D.REFUSAL_ODDS} == {t for t, _ in said if other.odds(t) > D.REFUSAL_ODDS}
+    copies = {D.bare(i) for _, i, _, _ in bench}
+    told = [t for t, _ in said if D.bare(t) not in copies and one.odds(t) <= D.REFUSAL_ODDS]
+    assert (ends, goes_on) == D.Endings.fit(told, [i for _, i, _, _ in bench])
